@@ -199,9 +199,13 @@ def abbreviation_pattern(abbreviations: Iterable[str]) -> str:
     return rf"(?i)(^|[^\w.])({choices})\s+"
 
 
-def language_votes(text: Column, words: Mapping[str, Iterable[str]]) -> dict[str, Column]:
-    """Function words of each language in the text: one count per language."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
+def letter_tokens(text: Column) -> Column:
+    """Lower-case runs of letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+
+
+def language_votes(tokens: Column, words: Mapping[str, Iterable[str]]) -> dict[str, Column]:
+    """Function words of each language among the tokens: one count per language."""
 
     def votes(known: Iterable[str]) -> Column:
         listed = list(known)

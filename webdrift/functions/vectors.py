@@ -17,9 +17,9 @@ def norm(a: Column) -> Column:
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
-    """Cosine of the angle; 0 when a vector has no length."""
-    lengths = norm(a) * norm(b)
-    return F.when(lengths == 0.0, F.lit(0.0)).otherwise(dot(a, b) / lengths)
+    """Cosine of the angle; 0 when a vector has no length, null when one is missing."""
+    ratio = F.try_divide(dot(a, b), norm(a) * norm(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(ratio, F.lit(0.0)))
 
 
 def cosine_distance(a: Column, b: Column) -> Column:

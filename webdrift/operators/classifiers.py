@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -86,6 +87,27 @@ def score(model, df: DataFrame, vector: str) -> DataFrame:
     return scored.select(*df.columns, F.col("prediction").cast("int").alias("pred"), proba.alias("proba"))
 
 
+@contextmanager
+def training_rows(df: DataFrame, key: str) -> Iterator[tuple[DataFrame, int]]:
+    """The rows cached for the passes of a fit, and their number.
+
+    A fit is costly per row, so few small partitions are dealt out to all cores; rows
+    are placed and ordered by key, which makes a repeated fit see the same partitions.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.count()
+    try:
+        if cached.rdd.getNumPartitions() < cores:
+            narrow, cached = cached, cached.repartition(cores, key).sortWithinPartitions(key)
+            cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
+            cached.count()
+            narrow.unpersist()
+        yield cached, n
+    finally:
+        cached.unpersist()
+
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -101,21 +123,17 @@ def train(
         return neighbours
     if name == "qda":
         return fit_qda(df, vector, label).transform
-    prepared = with_features(df, vector, label).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if name == "mlp":
-            estimator = mlp(prepared.first()[FEATURES].size, seed)
-        elif name == "logreg_l1":
-            estimator = logreg_l1(prepared.count())
-        else:
-            makers = {
-                "bernoulli_nb": bernoulli_nb, "linear_svc": linear_svc, "tree": lambda: tree(seed),
-                "random_forest": lambda: random_forest(seed=seed), "gbt": lambda: boosted_trees(seed),
-            }
-            estimator = makers[name]()
-        model = estimator.fit(prepared)
-    finally:
-        prepared.unpersist()
+    makers = {
+        "bernoulli_nb": lambda n, size: bernoulli_nb(),
+        "logreg_l1": lambda n, size: logreg_l1(n),
+        "linear_svc": lambda n, size: linear_svc(),
+        "mlp": lambda n, size: mlp(size, seed),
+        "tree": lambda n, size: tree(seed),
+        "random_forest": lambda n, size: random_forest(seed=seed),
+        "gbt": lambda n, size: boosted_trees(seed),
+    }
+    with training_rows(with_features(df, vector, label).select(key, FEATURES, LABEL), key) as (rows, n):
+        model = makers[name](n, rows.first()[FEATURES].size).fit(rows)
     return lambda test: score(model, test, vector)
 
 
@@ -156,8 +174,7 @@ def random_search(
     are fitted at a time, each fit being a distributed job of its own.
     """
     fold = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds))
-    data = with_features(df, vector, label).select(FEATURES, LABEL, fold.alias("_fold"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = with_features(df, vector, label).select(key, FEATURES, LABEL, fold.alias("_fold"))
     settings = draw_settings(grid, draws, seed)
 
     def forest(setting: dict):
@@ -170,13 +187,14 @@ def random_search(
         right = F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))
         return model.transform(rows).agg(right).first()[0]
 
-    def evaluate(task: tuple[int, int]) -> tuple[int, float, float]:
-        number, held_out = task
-        inside, outside = data.where(F.col("_fold") != held_out), data.where(F.col("_fold") == held_out)
-        model = forest(settings[number]).fit(inside)
-        return number, accuracy(model, outside), accuracy(model, inside)
+    with training_rows(folded, key) as (data, _):
+
+        def evaluate(task: tuple[int, int]) -> tuple[int, float, float]:
+            number, held_out = task
+            inside, outside = data.where(F.col("_fold") != held_out), data.where(F.col("_fold") == held_out)
+            model = forest(settings[number]).fit(inside)
+            return number, accuracy(model, outside), accuracy(model, inside)
 
-    try:
         with ThreadPoolExecutor(parallelism) as pool:
             results = list(pool.map(evaluate, itertools.product(range(len(settings)), range(folds))))
         rows = []
@@ -189,8 +207,6 @@ def random_search(
             ))
         rows.sort(key=lambda r: (-r[5], r[0]))
         best = forest(settings[rows[0][0]]).fit(data)
-    finally:
-        data.unpersist()
     schema = (
         "draw int, n_estimators int, max_features string, max_depth int, min_samples_split int, "
         "mean_test_accuracy double, mean_train_accuracy double, rank int"
@@ -199,13 +215,12 @@ def random_search(
     return best, df.sparkSession.createDataFrame(ranked, schema)
 
 
-def fit_forest(df: DataFrame, vector: str, label: str, seed: int = C.SEED, trees: int = 100) -> PipelineModel:
+def fit_forest(
+    df: DataFrame, vector: str, label: str, key: str, seed: int = C.SEED, trees: int = 100
+) -> PipelineModel:
     """The chosen model on all rows of a frame."""
-    prepared = with_features(df, vector, label).select(FEATURES, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return Pipeline(stages=[random_forest(trees, seed=seed)]).fit(prepared)
-    finally:
-        prepared.unpersist()
+    with training_rows(with_features(df, vector, label).select(key, FEATURES, LABEL), key) as (rows, _):
+        return Pipeline(stages=[random_forest(trees, seed=seed)]).fit(rows)
 
 
 def save(model, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType
 
 from webdrift import constants as C
 from webdrift.functions import text as X
@@ -30,7 +30,8 @@ def embed(
 
     ``make_encoder`` returns a function from texts to an (n, size) array, such as a
     sentence model's ``encode``; it is called once per task, and texts come in chunks
-    of at most ``batch``.  Without one, words are hashed into ``size`` counts and the
+    of at most ``batch``.  Only the texts go to Python, the other columns stay in the
+    JVM.  Without an encoder, words are hashed into ``size`` counts and the
     vector is scaled to length 1: a deterministic default that needs no model files and
     runs in the JVM.
     """
@@ -40,15 +41,17 @@ def embed(
         scaled = Normalizer(p=2.0, inputCol="_counts", outputCol="_vector").transform(counted)
         return scaled.withColumn(out, vector_to_array("_vector", "float32")).drop("_words", "_counts", "_vector")
 
-    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(ArrayType(FloatType()))
+    def encode(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start:start + batch]
-                vectors = np.asarray(encoder(part[text].fillna("").tolist()), dtype=np.float32)
-                if vectors.shape != (len(part), size):
-                    raise ValueError(f"the encoder gave {vectors.shape}, expected {(len(part), size)}")
-                yield part.assign(**{out: list(vectors)})
-
-    fields = [f for f in df.schema.fields if f.name != out]
-    return df.mapInPandas(encode, StructType([*fields, StructField(out, ArrayType(FloatType()))]))
+        for column in columns:
+            vectors = [encode_chunk(encoder, column.iloc[i:i + batch]) for i in range(0, len(column), batch)]
+            yield pd.Series([row for chunk in vectors for row in chunk])
+
+    def encode_chunk(encoder: Encoder, texts: pd.Series) -> np.ndarray:
+        vectors = np.asarray(encoder(texts.fillna("").tolist()), dtype=np.float32)
+        if vectors.shape != (len(texts), size):
+            raise ValueError(f"the encoder gave {vectors.shape}, expected {(len(texts), size)}")
+        return vectors
+
+    return df.withColumn(out, encode(F.col(text)))

@@ -46,14 +46,18 @@ def join_with_suffixes(
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
-    """Rows of ``left`` whose key occurs in ``right``."""
-    keys = right.select(F.col(right_key or left_key).alias(left_key))
+    """Rows of ``left`` whose key occurs in ``right``.
+
+    Keys are made distinct first (in each task, then once more after the shuffle the
+    join needs anyway), so a key with many rows on the right sends one row per task.
+    """
+    keys = right.select(F.col(right_key or left_key).alias(left_key)).distinct()
     return left.join(keys, left_key, "left_semi")
 
 
 def anti_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``; null keys are kept."""
-    keys = right.select(F.col(right_key or left_key).alias(left_key))
+    keys = right.select(F.col(right_key or left_key).alias(left_key)).distinct()
     return left.join(keys, left_key, "left_anti")
 
 

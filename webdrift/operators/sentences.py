@@ -26,8 +26,10 @@ def detect_language(
     """
     words = dict(words or C.FUNCTION_WORDS)
     names = dict(names or C.LANGUAGE_NAMES)
-    votes = X.language_votes(F.col(text), words)
-    counted = df.withColumn("_votes", F.struct(*[v.alias(k) for k, v in votes.items()]))
+    votes = X.language_votes(F.col("_tokens"), words)
+    counted = df.withColumn("_tokens", X.letter_tokens(F.col(text))).withColumn(
+        "_votes", F.struct(*[v.alias(k) for k, v in votes.items()])
+    )
     best = F.greatest(*[F.col(f"_votes.{lang}") for lang in words])
     winner = F.lit(None).cast("string")
     for lang in reversed(list(words)):
@@ -39,7 +41,7 @@ def detect_language(
         counted.withColumn("_best", best)
         .withColumn(code, F.when(F.col("_best") > 0, winner))
         .withColumn(name, language)
-        .drop("_votes", "_best")
+        .drop("_tokens", "_votes", "_best")
     )
 
 

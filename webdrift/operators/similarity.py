@@ -61,6 +61,7 @@ def cosine_by_key(
     Companies are matched by key, so only the n pairs that are wanted are computed, not
     an n x n matrix.  Companies without a partner are dropped before the mean.
     """
-    a = mean_vectors(old.join(new.select(key), key, "left_semi"), [key], vector, "_old")
-    b = mean_vectors(new.join(old.select(key), key, "left_semi"), [key], vector, "_new")
+    in_old, in_new = old.select(key).distinct(), new.select(key).distinct()
+    a = mean_vectors(old.join(in_new, key, "left_semi"), [key], vector, "_old")
+    b = mean_vectors(new.join(in_old, key, "left_semi"), [key], vector, "_new")
     return a.join(b, key).withColumn(out, V.cosine_similarity(F.col("_old"), F.col("_new"))).drop("_old", "_new")

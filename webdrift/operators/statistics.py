@@ -46,9 +46,10 @@ def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
 
     ``percentile`` would gather all distinct values in one task.  Here a first pass
     (approximate percentiles with a known rank error, mergeable partial sketches)
-    gives two values with the median between them; counts below and equal values in
-    that narrow band, about 6 in 100,000 rows, are then ranked exactly.  If the band
-    should miss the median the query fails rather than return a wrong value.
+    gives two values with the median between them.  A second pass counts equal values
+    inside that narrow band, about 6 rows in 100,000, and the rest as two numbers, below
+    and above; these few counts are ranked exactly.  If the band should miss the median
+    the query fails rather than return a wrong value.
     """
     x = F.col(value).cast("double")
     values = df.where(x.isNotNull()).select(x.alias("x"))
@@ -57,25 +58,22 @@ def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
         F.approx_percentile("x", [0.5 - margin, 0.5 + margin], _ACCURACY).alias("ends")
     ).select(F.struct(F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi")))
     marked = values.withColumn("_band", band.scalar())
-    below = F.col("x") < F.col("_band.lo")
-    total = marked.agg(F.count(F.lit(1)).alias("n"), F.count_if(below).alias("n_below"))
-    total = total.select(F.struct("n", "n_below"))
-
-    inside = marked.where(F.col("x").between(F.col("_band.lo"), F.col("_band.hi")))
-    counted = inside.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = counted.withColumn("_total", total.scalar()).withColumn(
-        "_upto", F.sum("c").over(Window.orderBy("x")) + F.col("_total.n_below")
-    )
-    lower_rank = F.floor((F.col("_total.n") + 1) / 2)
-    upper_rank = F.floor((F.col("_total.n") + 2) / 2)
-    ends = ranked.agg(
-        F.min(F.when(F.col("_upto") >= lower_rank, F.col("x"))).alias("a"),
-        F.min(F.when(F.col("_upto") >= upper_rank, F.col("x"))).alias("b"),
-        F.max(F.col("_total.n_below") < lower_rank).alias("low_ok"),
-    )
-    found = F.col("a").isNull() | (F.col("low_ok") & F.col("b").isNotNull())
+    region = F.when(F.col("x") < F.col("_band.lo"), -1).when(F.col("x") > F.col("_band.hi"), 1).otherwise(0)
+    placed = marked.select(region.alias("region"), F.when(region == 0, F.col("x")).alias("x"))
+    counted = placed.groupBy("region", "x").agg(F.count(F.lit(1)).alias("c"))
+
+    order = Window.orderBy("region", "x")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(every))
+    lower_rank, upper_rank = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
+
+    def at(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") >= rank, F.struct("region", "x")))
+
+    ends = ranked.agg(at(lower_rank).alias("a"), at(upper_rank).alias("b"))
+    found = F.col("a").isNull() | ((F.col("a.region") == 0) & (F.col("b.region") == 0))
     checked = ends.where(F.assert_true(found, F.lit("median lies outside the approximate band")).isNull())
-    return checked.select(((F.col("a") + F.col("b")) / 2).alias(out))
+    return checked.select(((F.col("a.x") + F.col("b.x")) / 2).alias(out))
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:

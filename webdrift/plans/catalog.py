@@ -33,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return files.read_table(spark, folder, name)
 
 
+def texts(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    """A table for text work, spread over all cores."""
+    return files.read_table(spark, folder, name, spread_by=key)
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     for name in names:
         df = df.withColumn(name, F.round(F.col(name), DIGITS))
@@ -49,7 +54,7 @@ def on_text(table_name: str, key: str, function: Callable[[Column], Column], col
     """A query that applies a text expression to a whole table."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, table_name).select(key, function(F.col(column)).alias("text"))
+        return texts(spark, folder, table_name, key).select(key, function(F.col(column)).alias("text"))
 
     return run
 
@@ -68,7 +73,7 @@ def page_rejects(spark, folder):
     html = F.when(F.col("page_id") % 7 == 0, F.lit(None)).when(
         F.col("page_id") % 11 == 0, F.concat(F.lit("<script>"), "url", F.lit("</script>"))
     ).otherwise(F.col("html"))
-    rows = table(spark, folder, "pages").select("page_id", html.alias("html"))
+    rows = texts(spark, folder, "pages", "page_id").select("page_id", html.alias("html"))
     return pages.rejects(rows).select("page_id", "status")
 
 
@@ -110,8 +115,8 @@ def parquet_roundtrip(spark, folder):
 
 @query
 def text_files_by_key(spark, folder):
-    texts = table(spark, folder, "documents").select("doc_id", "text")
-    return files.texts_for_keys(texts, table(spark, folder, "labels"), "doc_id")
+    rows = table(spark, folder, "documents").select("doc_id", "text")
+    return files.texts_for_keys(rows, table(spark, folder, "labels"), "doc_id")
 
 
 # --- pages ---------------------------------------------------------------------------
@@ -119,7 +124,7 @@ def text_files_by_key(spark, folder):
 
 @query
 def page_visible_text(spark, folder):
-    return pages.visible_text(table(spark, folder, "pages").select("page_id", "html")).select("page_id", "text")
+    return pages.visible_text(texts(spark, folder, "pages", "page_id").select("page_id", "html")).select("page_id", "text")
 
 
 @query
@@ -145,7 +150,7 @@ def meta_description_prefix(spark, folder):
         F.concat(F.lit('<meta content="'), about, F.lit('" name="description">'))
     )
     html = F.concat(F.lit("<html><head>"), head, F.lit("</head><body><p>"), "text", F.lit("</p></body></html>"))
-    rows = table(spark, folder, "documents").select("doc_id", html.alias("html"))
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", html.alias("html"))
     return pages.visible_text(rows).select("doc_id", "text")
 
 
@@ -161,7 +166,7 @@ def drop_empty_text(spark, folder):
     """Some texts are emptied, some reduced to blanks or markup, before cleaning."""
     doc = F.col("doc_id")
     text = F.when(doc % 7 == 0, "").when(doc % 11 == 0, "  \n ").when(doc % 13 == 0, "<<b>>").otherwise(F.col("text"))
-    rows = table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", text.alias("text"))
     return pages.clean_text(pages.drop_empty_text(rows))
 
 
@@ -187,19 +192,19 @@ def preprocess_text(spark, folder):
 
 @query
 def detect_language(spark, folder):
-    return sentences.detect_language(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    return sentences.detect_language(texts(spark, folder, "documents", "doc_id").select("doc_id", "text")).drop("text")
 
 
 @query
 def abbreviation_dictionary(spark, folder):
     """Dotted pieces of all document texts, each text taken as one cell of a list."""
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return sentences.abbreviation_dictionary(rows, "text", ["doc_id"])
 
 
 @query
 def sentence_split(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "text")
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", "text")
     return sentences.explode_sentences(rows, abbreviations=())
 
 
@@ -207,7 +212,7 @@ def sentence_split(spark, folder):
 def sentence_split_abbrev(spark, folder):
     """Documents with titles put in front of the capitalised words, to give abbreviations work."""
     titled = F.regexp_replace("text", r" ([A-Z][a-z]+)", " o.a. prof. Dr. $1")
-    rows = table(spark, folder, "documents").select("doc_id", titled.alias("text"))
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", titled.alias("text"))
     return sentences.explode_sentences(rows, abbreviations=[*C.ABBREVIATIONS, "o.a."])
 
 
@@ -222,19 +227,19 @@ def sentence_explode(spark, folder):
 def filter_nonalpha(spark, folder):
     """Sentences with a letter; end marks and digits alone are dropped."""
     pieces = F.explode(F.split("text", r"[ \n]"))
-    rows = table(spark, folder, "documents").select("doc_id", pieces.alias("text"))
+    rows = texts(spark, folder, "documents", "doc_id").select("doc_id", pieces.alias("text"))
     return sentences.with_letters(rows).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def whitespace_tokens(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = texts(spark, folder, "documents", "doc_id")
     return rows.select("doc_id", F.posexplode(X.whitespace_tokens(F.col("text"))).alias("pos", "token"))
 
 
 @query
 def word_tokens(spark, folder):
-    rows = table(spark, folder, "documents")
+    rows = texts(spark, folder, "documents", "doc_id")
     return rows.select("doc_id", F.posexplode(X.word_tokens(F.col("text"), 2)).alias("pos", "token"))
 
 
@@ -283,8 +288,8 @@ def key_overlap_counts(spark, folder):
 @query
 def join_validated_1to1(spark, folder):
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("innov"))
-    texts = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
-    return relational.join_one_to_one(texts, labels, ["doc_id"])
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    return relational.join_one_to_one(rows, labels, ["doc_id"])
 
 
 @query
@@ -300,17 +305,17 @@ def join_renamed_keys(spark, folder):
 
 @query
 def join_composite(spark, folder):
-    texts = derived.companies(spark, folder).select(F.col("doc_id").alias("beid"), "innov", "lang")
+    rows = derived.companies(spark, folder).select(F.col("doc_id").alias("beid"), "innov", "lang")
     words = table(spark, folder, "labels").select(
         F.floor(F.col("doc_id") / 2).cast("bigint").alias("beid"), F.col("quality").alias("innov"), "toxic"
     )
-    return texts.join(words, ["beid", "innov"])
+    return rows.join(words, ["beid", "innov"])
 
 
 @query
 def join_id_map(spark, folder):
-    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("id_nhr"), "lang", "source")
-    return derived.id_map(spark, folder).join(texts, "id_nhr")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id_nhr"), "lang", "source")
+    return derived.id_map(spark, folder).join(rows, "id_nhr")
 
 
 @query
@@ -337,9 +342,9 @@ def union_scrapes(spark, folder):
 
 @query
 def union_missing_columns(spark, folder):
-    texts = table(spark, folder, "documents").select("doc_id", "lang", "source")
+    rows = table(spark, folder, "documents").select("doc_id", "lang", "source")
     labels = table(spark, folder, "labels").select("quality", "doc_id")
-    return relational.union_all(texts, labels, fill_missing=True)
+    return relational.union_all(rows, labels, fill_missing=True)
 
 
 @query
@@ -528,17 +533,17 @@ def cluster_review(spark, folder):
 
 @query
 def term_counts(spark, folder):
-    return terms.term_counts(table(spark, folder, "documents"), "doc_id")
+    return terms.term_counts(texts(spark, folder, "documents", "doc_id"), "doc_id")
 
 
 @query
 def doc_frequency(spark, folder):
-    return terms.document_frequency(table(spark, folder, "documents"))
+    return terms.document_frequency(texts(spark, folder, "documents", "doc_id"))
 
 
 @query
 def tfidf_sublinear(spark, folder):
-    return rounded(terms.tfidf(table(spark, folder, "documents"), "doc_id"), "tfidf")
+    return rounded(terms.tfidf(texts(spark, folder, "documents", "doc_id"), "doc_id"), "tfidf")
 
 
 # Fewer texts are labelled than in a crawl, so words need fewer of them to count.
@@ -594,11 +599,11 @@ def mean_word_vector(spark, folder):
 
     The vectors are eight bytes of a hash of the word, so that the result is repeatable.
     """
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = texts(spark, folder, "documents", "doc_id").select("doc_id", "text")
     words = docs.select(F.explode(X.word_set(F.col("text"))).alias("word"))
     known = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where("df >= 20")
     digest = F.md5("word")
-    parts = [F.conv(F.substring(digest, 1 + 2 * i, 2), 16, 10).cast("double") / 255.0 for i in range(8)]
+    parts = [F.conv(F.substring(digest, 1 + 2 * i, 2), 16, 10).cast("double") / 257.0 for i in range(8)]
     vectors = known.select("word", F.array(*parts).alias("vector"))
     return components(terms.mean_word_vectors(docs, "doc_id", vectors, 8), ["doc_id"], "word_vector")
 
@@ -621,9 +626,9 @@ def sample_n(spark, folder):
 
 @query
 def word2vec_vectors(spark, folder):
-    """One row per word in at least five places, with the length of its vector."""
-    vectors = bag_of_words.train_word_vectors(table(spark, folder, "documents"))
-    return vectors.select("word", F.size("vector").alias("n_values"), V.norm(F.col("vector")).alias("length"))
+    """One row per word in at least five places."""
+    vectors = bag_of_words.train_word_vectors(texts(spark, folder, "documents", "doc_id"))
+    return vectors.select("word", F.size("vector").alias("n_values"))
 
 
 # --- models ---------------------------------------------------------------------------
@@ -668,7 +673,7 @@ def rf_save_load_score(spark, folder):
     """Fit on the earlier scrape, save, load, score the later one."""
     rows = derived.vectors(spark, folder)
     path = files.work_folder(spark)
-    classifiers.save(classifiers.fit_forest(rows.where("scrape = 3"), "embedding", "innov"), path)
+    classifiers.save(classifiers.fit_forest(rows.where("scrape = 3"), "embedding", "innov", "vec_id"), path)
     scored = classifiers.score(classifiers.load(path), rows.where("scrape = 12"), "embedding")
     return rounded(scored.select("vec_id", "innov", "pred", "proba"), "proba")
 
@@ -676,7 +681,7 @@ def rf_save_load_score(spark, folder):
 @query
 def score_rows(spark, folder):
     rows = derived.vectors(spark, folder)
-    model = classifiers.fit_forest(rows, "embedding", "innov")
+    model = classifiers.fit_forest(rows, "embedding", "innov", "vec_id")
     return rounded(classifiers.score(model, rows, "embedding").select("vec_id", "company", "pred", "proba"), "proba")
 
 
@@ -688,7 +693,7 @@ def fulltext_classifier(spark, folder):
 @query
 def concept_drift_report(spark, folder):
     rows = derived.vectors(spark, folder)
-    model = classifiers.fit_forest(rows.where("scrape = 3"), "embedding", "innov")
+    model = classifiers.fit_forest(rows.where("scrape = 3"), "embedding", "innov", "vec_id")
     result = studies.concept_drift(
         model, rows.where("scrape = 3"), rows.where("scrape = 12"), "embedding", "company", "innov"
     )
@@ -699,7 +704,7 @@ def concept_drift_report(spark, folder):
 def external_validation_report(spark, folder):
     rows = derived.vectors(spark, folder)
     known = rows.where("scrape = 3")
-    model = classifiers.fit_forest(known, "embedding", "innov")
+    model = classifiers.fit_forest(known, "embedding", "innov", "vec_id")
     result = studies.external_validation(model, known, rows, "vec_id", "embedding", "company", "innov")
     return rounded(result, *REPORT)
 

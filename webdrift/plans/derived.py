@@ -13,7 +13,7 @@ from webdrift.sources.files import read_table
 def companies(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled texts."""
     labels = read_table(spark, folder, "labels").select("doc_id", F.col("quality").alias("innov"))
-    texts = read_table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    texts = read_table(spark, folder, "documents", "doc_id").select("doc_id", "text", "lang", "source")
     return texts.join(labels, "doc_id")
 
 
@@ -56,9 +56,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def raw_page_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Page text with tags taken out and nothing else, where glued sentences remain."""
-    html = read_table(spark, folder, "pages").select("page_id", "html")
+    html = read_table(spark, folder, "pages", "page_id").select("page_id", "html")
     return html.select("page_id", X.strip_markup(X.transliterate(F.col("html"))).alias("text"))
 
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return pages.extract_text(read_table(spark, folder, "pages").select("page_id", "html"))
+    return pages.extract_text(read_table(spark, folder, "pages", "page_id").select("page_id", "html"))

@@ -411,13 +411,16 @@ ORACLES["assemble_features"] = f"""SELECT doc_id, term AS name, {six('tfidf')} A
 UNION ALL SELECT doc_id, 'Feature_taal', 1.0 FROM ({COMPANIES}) WHERE lang <> 'de'"""
 ORACLES["feature_names"] = f"SELECT term AS name FROM ({frequency(_TRAIN, 20)}) UNION ALL SELECT 'Feature_taal'"
 _WORDS = f"SELECT doc_id, unnest({SPACE_TOKENS}) AS word FROM documents"
-_BYTES = ", ".join(f"CAST('0x' || substr(md5(word), {1 + 2 * i}, 2) AS INTEGER) / 255.0::DOUBLE" for i in range(8))
+_BYTES = ", ".join(f"CAST('0x' || substr(md5(word), {1 + 2 * i}, 2) AS INTEGER) / 257.0::DOUBLE" for i in range(8))
 ORACLES["mean_word_vector"] = f"""
 WITH w AS ({_WORDS}), k AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM w) GROUP BY word HAVING count(*) >= 20),
 v AS (SELECT word, pos, value FROM ({numbered(f'[{_BYTES}]', 'word', 'k', 'value')})),
 m AS (SELECT doc_id, pos, avg(value) AS value FROM w JOIN v ON w.word = v.word GROUP BY ALL)
 SELECT d.doc_id, CAST(p.pos AS INTEGER) AS pos, {six('coalesce(m.value, 0.0::DOUBLE)')} AS value
 FROM documents d CROSS JOIN (SELECT unnest(range(8)) AS pos) p LEFT JOIN m ON m.doc_id = d.doc_id AND m.pos = p.pos"""
+ORACLES["embed_texts"] = f"""SELECT doc_id, 768 AS n_values,
+CASE WHEN len({word_list(1)}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM ({COMPANIES})"""
+ORACLES["word2vec_vectors"] = f"SELECT word, 200 AS n_values FROM ({_WORDS}) GROUP BY word HAVING count(*) >= 5"
 ORACLES["split_train_test"] = f"SELECT doc_id, {is_test('doc_id')} AS is_test FROM documents"
 ORACLES["sample_n"] = _SAMPLE.format(n=120)
 

@@ -21,7 +21,7 @@ def page_sentences(raw_pages: DataFrame, id_columns: list[str]) -> DataFrame:
 
 def sentence_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences per page and their mean length."""
-    rows = page_sentences(files.read_table(spark, folder, "pages"), ["page_id"])
+    rows = page_sentences(files.read_table(spark, folder, "pages", "page_id"), ["page_id"])
     return rows.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("n_sentences"), F.round(F.avg(F.length("text")), 6).alias("mean_chars")
     )
@@ -39,7 +39,7 @@ def fulltext_reports(
     """Forest on one vector per company text; report of the labels and of every threshold."""
     vectors = encode.embed(companies.select(key, label, text), text, size=size)
     train, test = sampling.split(vectors, key, seed=seed)
-    model = classifiers.fit_forest(train, "embedding", label, seed)
+    model = classifiers.fit_forest(train, "embedding", label, key, seed)
     scored = classifiers.score(model, test, "embedding").select(key, label, "pred", "proba")
     rules = [F.struct(F.lit("label").alias("rule"), F.lit(0.5).alias("threshold"), F.col("pred").alias("decision"))]
     rules += [

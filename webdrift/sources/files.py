@@ -14,9 +14,21 @@ from webdrift.functions import text as X
 TEXT_CSV = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a folder."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+def read_table(spark: SparkSession, folder: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """One Parquet table of a folder; ``spread_by`` see ``spread``."""
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    return rows if spread_by is None else spread(rows, spread_by)
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of a table that comes in fewer pieces than there are cores.
+
+    Text work is costly per byte, so a small table in one file would keep one core busy.
+    Tables with enough splits, as any large one, are returned as they are, unshuffled.
+    Meant for plain scans.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
 
 
 def read_html_folder(spark: SparkSession, folder: str, suffix: str = ".html") -> DataFrame:
