@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from webdrift import constants as C
 
-# Rank error of the first pass of ``median`` as a share of the rows; see there.
-_ACCURACY = 100_000
+# ``median``: one over the rank error of its percentiles, and percentiles inside the band
+_ACCURACY = 2_000
+_STEPS = 500
 
 
 def histogram(
@@ -44,38 +45,67 @@ def histogram(
 def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
     """Exact median of a column in one row, for any number of rows.
 
-    ``percentile`` would gather all distinct values in one task.  Here a first pass
-    (approximate percentiles with a known rank error, mergeable partial sketches)
-    gives two values with the median between them.  A second pass counts equal values
-    inside that narrow band, about 6 rows in 100,000, and the rest as two numbers, below
-    and above; these few counts are ranked exactly.  If the band should miss the median
-    the query fails rather than return a wrong value.
+    ``percentile`` would gather all distinct values in one task.  Here three passes
+    narrow the search, each with small mergeable partial results:
+
+    1. approximate percentiles with a known rank error give a band around the median,
+       about 3 rows in 1,000;
+    2. the ranks outside the band are counted and percentiles inside it taken, which
+       gives a band of about 1 row in 50,000;
+    3. equal values inside that band are counted, all others as two numbers, below and
+       above, and these few counts are ranked exactly.
+
+    If a band should miss the median the query fails rather than return a wrong value.
     """
-    x = F.col(value).cast("double")
-    values = df.where(x.isNotNull()).select(x.alias("x"))
-    margin = 3.0 / _ACCURACY
-    band = values.agg(
-        F.approx_percentile("x", [0.5 - margin, 0.5 + margin], _ACCURACY).alias("ends")
-    ).select(F.struct(F.col("ends")[0].alias("lo"), F.col("ends")[1].alias("hi")))
-    marked = values.withColumn("_band", band.scalar())
-    region = F.when(F.col("x") < F.col("_band.lo"), -1).when(F.col("x") > F.col("_band.hi"), 1).otherwise(0)
-    placed = marked.select(region.alias("region"), F.when(region == 0, F.col("x")).alias("x"))
+    x = F.col("x")
+    values = df.select(F.col(value).cast("double").alias("x")).where(x.isNotNull())
+    margin = 2.0 / _ACCURACY
+    ends = F.approx_percentile("x", [0.5 - margin, 0.5 + margin], _ACCURACY)
+    wide = values.agg(ends.alias("e")).select(F.struct(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi")))
+
+    in_wide = x.between(F.col("wide.lo"), F.col("wide.hi"))
+    steps = [i / _STEPS for i in range(_STEPS + 1)]
+    counts = values.withColumn("wide", wide.scalar()).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(x < F.col("wide.lo")).alias("below"),
+        F.count_if(in_wide).alias("inside"),
+        F.approx_percentile(F.when(in_wide, x), steps, _ACCURACY).alias("e"),
+    )
+
+    def step_of(rank: Column) -> Column:
+        return (rank - F.col("below")) / F.col("inside") * _STEPS
+
+    # one step for the rank error, one for rounding
+    first = F.greatest(F.floor(step_of(_lower_rank(F.col("n")))) - 2, F.lit(0)).cast("int")
+    last = F.least(F.ceil(step_of(_upper_rank(F.col("n")))) + 2, F.lit(_STEPS)).cast("int")
+    narrow = counts.select(F.struct(F.get("e", first).alias("lo"), F.get("e", last).alias("hi")))
+
+    marked = values.withColumn("band", narrow.scalar())
+    region = F.when(x < F.col("band.lo"), -1).when(x > F.col("band.hi"), 1).otherwise(0)
+    placed = marked.select(region.alias("region"), F.when(region == 0, x).alias("x"))
     counted = placed.groupBy("region", "x").agg(F.count(F.lit(1)).alias("c"))
 
     order = Window.orderBy("region", "x")
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(every))
-    lower_rank, upper_rank = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
 
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("upto") >= rank, F.struct("region", "x")))
 
-    ends = ranked.agg(at(lower_rank).alias("a"), at(upper_rank).alias("b"))
-    found = F.col("a").isNull() | ((F.col("a.region") == 0) & (F.col("b.region") == 0))
-    checked = ends.where(F.assert_true(found, F.lit("median lies outside the approximate band")).isNull())
+    found = ranked.agg(at(_lower_rank(F.col("n"))).alias("a"), at(_upper_rank(F.col("n"))).alias("b"))
+    inside = F.col("a").isNull() | ((F.col("a.region") == 0) & (F.col("b.region") == 0))
+    checked = found.where(F.assert_true(inside, F.lit("median lies outside the approximate band")).isNull())
     return checked.select(((F.col("a.x") + F.col("b.x")) / 2).alias(out))
 
 
+def _lower_rank(n: Column) -> Column:
+    return F.floor((n + 1) / 2)
+
+
+def _upper_rank(n: Column) -> Column:
+    return F.floor((n + 2) / 2)
+
+
 def summary(df: DataFrame, value: str) -> DataFrame:
     """Count, least, greatest, mean and exact median of a column in one row."""
     x = F.col(value).cast("double")

@@ -408,6 +408,34 @@ def sentence_profile(spark, folder):
     return studies.sentence_profile(spark, folder)
 
 
+def _drift(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of the earlier scrape by one id (two per company), of the later one by the other."""
+    rows = derived.vectors(spark, folder)
+    company = F.col("vec_id") % 60
+    old = rows.where("scrape = 3").select(company.alias("id_nhr"), "embedding")
+    new = rows.where("scrape = 12").select(F.floor(company / 2).cast("bigint").alias("beid"), "embedding")
+    ids = rows.select(company.alias("id_nhr"), F.floor(company / 2).cast("bigint").alias("beid")).distinct()
+    return studies.vector_drift(old, new, ids, "id_nhr", "beid", "embedding")
+
+
+@query
+def vector_drift(spark, folder):
+    return rounded(_drift(spark, folder), "cosine_similarity")
+
+
+@query
+def vector_drift_summary(spark, folder):
+    return rounded(statistics.summary(_drift(spark, folder), "cosine_similarity"), "minimum", "maximum", "mean", "median")
+
+
+@query
+def labelled_texts(spark, folder):
+    """Page texts with the label of the page's company."""
+    raw = texts(spark, folder, "pages", "page_id").select(F.col("page_id").alias("doc_id"), "html")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("innov"))
+    return studies.company_texts(raw, labels, "doc_id", 3)
+
+
 @query
 def histogram_range(spark, folder):
     return statistics.histogram(table(spark, folder, "events"), "value")
@@ -738,6 +766,16 @@ def bow_cross_dataset(spark, folder):
     return rounded(scored.select("doc_id", "innov", "pred", "proba"), "proba")
 
 
+@query
+def bow_register_sample(spark, folder):
+    """A sample of the register plus all startups that were not sampled, then classified."""
+    rows = _bow_data(spark, folder)
+    startup = F.pmod(F.xxhash64("source"), F.lit(3)) == 0
+    data = sampling.sample_with_extra(rows.where(~startup), rows.where(startup), "doc_id", n=200)
+    scored = bag_of_words.classify(data, "doc_id", "innov", min_chars=2, **BOW)
+    return rounded(scored.select("doc_id", "innov", "pred", "proba"), "proba")
+
+
 @query
 def bow_repeated_runs(spark, folder):
     result = bag_of_words.repeated_runs(_bow_data(spark, folder), "doc_id", "innov", runs=2, **BOW)

@@ -303,6 +303,18 @@ def summary(value: str, source: str) -> str:
 
 
 ORACLES["similarity_summary"] = summary("word_similarity", OVERLAP)
+# the earlier scrape has even vec_id, so only even ids occur; the first id per company is even too
+_OLD = f"SELECT vec_id, CAST(floor((vec_id % 60) / 2) AS BIGINT) AS beid, e FROM ({VECTORS}) WHERE scrape = 3 AND (vec_id % 60) % 2 = 0"
+_NEW = f"SELECT vec_id, CAST(floor((vec_id % 60) / 2) AS BIGINT) AS beid, e FROM ({VECTORS}) WHERE scrape = 12"
+DRIFT = f"""
+SELECT a.beid, sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS cosine_similarity
+FROM ({mean_vector('beid', _OLD)}) a JOIN ({mean_vector('beid', _NEW)}) b ON a.beid = b.beid AND a.pos = b.pos GROUP BY a.beid"""
+ORACLES["vector_drift"] = f"SELECT beid, {six('cosine_similarity')} AS cosine_similarity FROM ({DRIFT})"
+ORACLES["vector_drift_summary"] = summary("cosine_similarity", DRIFT)
+_PAGE_DOCS = visible_text("SELECT page_id AS doc_id, html FROM pages", "doc_id")
+ORACLES["labelled_texts"] = f"""WITH {_PAGE_DOCS}
+SELECT t.doc_id, t.text, l.quality AS innov, 3 AS scrape FROM ({clean('SELECT doc_id, text FROM visible')}) t
+JOIN labels l ON t.doc_id = l.doc_id"""
 ORACLES["median_value"] = f"SELECT {six('quantile_cont(l_extendedprice, 0.5)')} AS median FROM lineitem"
 ORACLES["histogram_range"] = """SELECT CAST(least(floor((value - lo) / (hi - lo) * 100), 99) AS INTEGER) AS bin, count(*) AS n
 FROM events, (SELECT min(value) AS lo, max(value) AS hi FROM events) GROUP BY 1"""

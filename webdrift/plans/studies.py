@@ -19,6 +19,27 @@ def page_sentences(raw_pages: DataFrame, id_columns: list[str]) -> DataFrame:
     return sentences.with_letters(sentences.explode_sentences(texts))
 
 
+def company_texts(raw_pages: DataFrame, labels: DataFrame, key: str, scrape: int) -> DataFrame:
+    """Labelled company texts of one scrape; fails when a company occurs twice on either side."""
+    texts = pages.extract_text(raw_pages)
+    unique = relational.require_unique(raw_pages.select(key), [key], "left")
+    known = relational.require_unique(labels, [key], "right")
+    return texts.join(unique, key, "left_semi").join(known, key).withColumn("scrape", F.lit(scrape))
+
+
+def vector_drift(
+    old: DataFrame, new: DataFrame, id_map: DataFrame, old_id: str, new_id: str, vector: str
+) -> DataFrame:
+    """Cosine similarity per company between two scrapes that use different ids.
+
+    The id map may give a company several old ids; the first one counts.  Companies in
+    one scrape only are left out.
+    """
+    first = relational.first_per_key(id_map, [new_id], [F.col(old_id)])
+    matched = first.join(old, old_id)
+    return similarity.cosine_by_key(matched, new, new_id, vector)
+
+
 def sentence_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Sentences per page and their mean length."""
     rows = page_sentences(files.read_table(spark, folder, "pages", "page_id"), ["page_id"])

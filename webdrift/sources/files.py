@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,13 +77,33 @@ def string_schema(*names: str) -> StructType:
     return StructType([StructField(name, StringType()) for name in names])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType, sep: str = ",", empty_as_null: bool = True
+) -> DataFrame:
     """Texts hold quotes and newlines, so records span lines and quotes are doubled.
 
+    An empty cell is null, as it is for the tools that write these files; with
+    ``empty_as_null=False`` it is the empty text.  The cell ``NA`` is text either way.
     A record that spans lines makes a file unsplittable; write many files (one per
     task, as ``write_csv`` does), not one large file.
     """
-    return spark.read.options(**TEXT_CSV, sep=sep, multiLine=True).schema(schema).csv(path)
+    rows = spark.read.options(**TEXT_CSV, sep=sep, multiLine=True).schema(schema).csv(path)
+    return rows if empty_as_null else rows.na.fill("")
+
+
+def read_abbreviation_lists(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """All cells of any number of abbreviation lists: (list, row, cell), in the given order.
+
+    Feed it to ``abbreviation_dictionary(cells, "cell", ["list", "row"])``.
+    """
+    schema = string_schema("cell", "meaning")
+    lists = [
+        read_csv(spark, path, schema, empty_as_null=False).select(
+            F.lit(number).alias("list"), F.monotonically_increasing_id().alias("row"), "cell"
+        )
+        for number, path in enumerate(paths)
+    ]
+    return reduce(DataFrame.unionByName, lists)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "errorifexists") -> None:
