@@ -15,7 +15,7 @@ _PREFIX = 4
 
 
 def hash_of(key: str, seed: int) -> Column:
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
 
 
 def nth_smallest_hash(df: DataFrame, key: str, seed: int, n: Column) -> DataFrame:
@@ -40,10 +40,20 @@ def nth_smallest_hash(df: DataFrame, key: str, seed: int, n: Column) -> DataFram
     return order.agg(F.min(F.when(F.col("upto") >= F.col("place.rest"), F.col("h"))).alias("h"))
 
 
+def up_to_hash(df: DataFrame, key: str, seed: int, n: Column) -> Column:
+    """Condition for the n rows with the smallest hashes.
+
+    The threshold, one string, is computed here and now: the condition is then a plain
+    comparison, and a frame that is read many times (a training set) does not find its
+    threshold anew in each pass.
+    """
+    limit = nth_smallest_hash(df, key, seed, n).first()["h"]
+    return F.lit(False) if limit is None else hash_of(key, seed) <= F.lit(limit)
+
+
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = C.SEED) -> DataFrame:
     """Exactly n rows (or all, if there are fewer), without replacement; ``key`` must be unique."""
-    limit = nth_smallest_hash(df, key, seed, F.lit(n))
-    return df.where(hash_of(key, seed) <= limit.scalar())
+    return df.where(up_to_hash(df, key, seed, F.lit(n)))
 
 
 def mark_split(
@@ -53,23 +63,18 @@ def mark_split(
 
     The rows themselves are not moved: they are compared with one threshold hash.  With
     a company column as ``key`` whole companies go to one side; the share is then met
-    approximately, because rows of one company share a hash.
+    approximately, because rows of one company share a hash; ``split`` takes a ``group``.
     """
-    limit = nth_smallest_hash(df, key, seed, F.ceil(F.col("total") * test_share))
-    return df.withColumn(out, hash_of(key, seed) <= limit.scalar())
+    return df.withColumn(out, up_to_hash(df, key, seed, F.ceil(F.col("total") * test_share)))
 
 
 def split(
     df: DataFrame, key: str, test_share: float = C.TEST_SHARE, seed: int = C.SEED, group: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Train and test frames; ``group`` keeps all rows of a company on one side."""
-    if group is None:
-        marked = mark_split(df, key, test_share, seed)
-    else:
-        companies = df.select(group).distinct()
-        limit = nth_smallest_hash(companies, group, seed, F.ceil(F.col("total") * test_share))
-        marked = df.withColumn("is_test", hash_of(group, seed) <= limit.scalar())
-    return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
+    unit, units = (key, df) if group is None else (group, df.select(group).distinct())
+    is_test = up_to_hash(units, unit, seed, F.ceil(F.col("total") * test_share))
+    return df.where(~is_test), df.where(is_test)
 
 
 def sample_with_extra(

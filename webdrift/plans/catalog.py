@@ -594,7 +594,7 @@ def count_vectorize(spark, folder):
     """Counts of the training vocabulary in all labelled texts."""
     rows = derived.companies(spark, folder)
     train, _ = sampling.split(rows, "doc_id")
-    model = bag_of_words.fit_counts(train, min_df=LABELLED_MIN_DF)
+    model, _ = bag_of_words.fit_counts(train, min_df=LABELLED_MIN_DF)
     counted = model.transform(bag_of_words.count_words(rows))
     result = _sparse_rows(counted, "doc_id", "_counts", model.vocabulary)
     return result.select("doc_id", F.col("name").alias("term"), F.col("value").cast("bigint").alias("n"))
