@@ -8,6 +8,7 @@ row keeps its input columns and gains ``pred`` and, where the model has one, ``p
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -90,18 +91,25 @@ def score(model, df: DataFrame, vector: str) -> DataFrame:
 
 
 @contextmanager
-def training_rows(df: DataFrame, key: str) -> Iterator[tuple[DataFrame, int]]:
+def training_rows(df: DataFrame, key: str, rows_per_task: int = 5_000) -> Iterator[tuple[DataFrame, int]]:
     """The rows cached for the passes of a fit, and their number.
 
-    A fit is costly per row, so few small partitions are dealt out to all cores; rows
-    are placed and ordered by key, which makes a repeated fit see the same partitions.
+    Where the input comes in fewer partitions than the cores could use, with at least
+    ``rows_per_task`` rows each, it is dealt out.  Rows are then placed and ordered by
+    key, which makes a repeated fit see the same partitions.  Where partitions hold
+    fewer rows than that, they are read together: a fit pays per task in every pass.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = cached.count()
+    useful = max(1, math.ceil(n / rows_per_task))
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, useful)
+    parts = cached.rdd.getNumPartitions()
     try:
-        if cached.rdd.getNumPartitions() < cores:
-            narrow, cached = cached, cached.repartition(cores, key).sortWithinPartitions(key)
+        if parts > useful:
+            yield cached.coalesce(useful), n
+            return
+        if parts < wanted:
+            narrow, cached = cached, cached.repartition(wanted, key).sortWithinPartitions(key)
             cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
             cached.count()
             narrow.unpersist()
@@ -110,6 +118,9 @@ def training_rows(df: DataFrame, key: str) -> Iterator[tuple[DataFrame, int]]:
         cached.unpersist()
 
 
+# trees do much work per row
+TREE_ROWS_PER_TASK = 200
+
 Scorer = Callable[[DataFrame], DataFrame]
 
 
@@ -134,7 +145,8 @@ def train(
         "random_forest": lambda n, size: random_forest(seed=seed),
         "gbt": lambda n, size: boosted_trees(seed),
     }
-    with training_rows(with_features(df, vector, label).select(key, FEATURES, LABEL), key) as (rows, n):
+    share = TREE_ROWS_PER_TASK if name in ("tree", "random_forest", "gbt") else 5_000
+    with training_rows(with_features(df, vector, label).select(key, FEATURES, LABEL), key, share) as (rows, n):
         model = makers[name](n, rows.first()[FEATURES].size).fit(rows)
     return lambda test: score(model, test, vector)
 
@@ -189,7 +201,7 @@ def random_search(
         right = F.avg((F.col("prediction") == F.col(LABEL)).cast("double"))
         return model.transform(rows).agg(right).first()[0]
 
-    with training_rows(folded, key) as (data, _):
+    with training_rows(folded, key, TREE_ROWS_PER_TASK) as (data, _):
 
         def evaluate(task: tuple[int, int]) -> tuple[int, float, float]:
             number, held_out = task
@@ -221,7 +233,8 @@ def fit_forest(
     df: DataFrame, vector: str, label: str, key: str, seed: int = C.SEED, trees: int = 100
 ) -> PipelineModel:
     """The chosen model on all rows of a frame."""
-    with training_rows(with_features(df, vector, label).select(key, FEATURES, LABEL), key) as (rows, _):
+    prepared = with_features(df, vector, label).select(key, FEATURES, LABEL)
+    with training_rows(prepared, key, TREE_ROWS_PER_TASK) as (rows, _):
         return Pipeline(stages=[random_forest(trees, seed=seed)]).fit(rows)
 
 

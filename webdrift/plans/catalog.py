@@ -393,6 +393,11 @@ def similarity_summary(spark, folder):
     return rounded(statistics.summary(overlap, "word_similarity"), "minimum", "maximum", "mean", "median")
 
 
+@query
+def word_similarity_hist(spark, folder):
+    return statistics.histogram(similarity.word_overlap(derived.text_pairs(spark, folder)), "word_similarity")
+
+
 @query
 def similarity_over_time(spark, folder):
     """Full-text vectors of two turns of the same conversation."""

@@ -302,6 +302,9 @@ def summary(value: str, source: str) -> str:
 {six(f'avg({value})')} AS mean, {six(f'quantile_cont({value}, 0.5)')} AS median FROM ({source})"""
 
 
+ORACLES["word_similarity_hist"] = f"""WITH o AS ({OVERLAP})
+SELECT CAST(least(floor((word_similarity - lo) / (hi - lo) * 100), 99) AS INTEGER) AS bin, count(*) AS n
+FROM o, (SELECT min(word_similarity) AS lo, max(word_similarity) AS hi FROM o) GROUP BY 1"""
 ORACLES["similarity_summary"] = summary("word_similarity", OVERLAP)
 # the earlier scrape has even vec_id, so only even ids occur; the first id per company is even too
 _OLD = f"SELECT vec_id, CAST(floor((vec_id % 60) / 2) AS BIGINT) AS beid, e FROM ({VECTORS}) WHERE scrape = 3 AND (vec_id % 60) % 2 = 0"

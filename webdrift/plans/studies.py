@@ -21,10 +21,9 @@ def page_sentences(raw_pages: DataFrame, id_columns: list[str]) -> DataFrame:
 
 def company_texts(raw_pages: DataFrame, labels: DataFrame, key: str, scrape: int) -> DataFrame:
     """Labelled company texts of one scrape; fails when a company occurs twice on either side."""
-    texts = pages.extract_text(raw_pages)
-    unique = relational.require_unique(raw_pages.select(key), [key], "left")
+    texts = pages.extract_text(relational.require_unique(raw_pages, [key], "left"))
     known = relational.require_unique(labels, [key], "right")
-    return texts.join(unique, key, "left_semi").join(known, key).withColumn("scrape", F.lit(scrape))
+    return texts.join(known, key).withColumn("scrape", F.lit(scrape))
 
 
 def vector_drift(
