@@ -48,17 +48,16 @@ HIDDEN = (
     r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
 )
 TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>"""
-LIST_ITEM_START = r"(?i)(<li\b)"
-LIST_ITEM_END = r"(?i)(</li\s*>)"
+LIST_ITEM_BORDER = r"(?i)(?=</?li\b)"
 FIRST_LINK_END = r"(?is)^(<li\b.*?<a\s[^>]*\bhref\b[^>]*>.*?)(</a\s*>)"
 META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']?description["'\s/][^>]*>"""
 META_CONTENT_DOUBLE = r'(?is)\bcontent\s*=\s*"([^"]*)"'
 META_CONTENT_SINGLE = r"(?is)\bcontent\s*=\s*'([^']*)'"
 ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-NON_ASCII = r"[^\x00-\x7F]"
 
 # white space as Python's str.split / str.strip see it
 ASCII_SPACE = r"[\t-\r\x1c-\x20]"
+ASCII_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "
 SPACE = (
     r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

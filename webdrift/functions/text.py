@@ -7,6 +7,7 @@ computed column; ``webdrift.operators.pages`` does so.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -16,8 +17,13 @@ from webdrift import constants as C
 
 
 def strip(text: Column) -> Column:
-    """Cut white space of every kind at both ends (``trim`` cuts blanks only)."""
-    return F.regexp_replace(text, f"^{C.ASCII_SPACE}+|{C.ASCII_SPACE}+$", "")
+    """Cut white space of every kind at both ends (``trim`` alone cuts blanks only)."""
+    return F.btrim(text, F.lit(C.ASCII_SPACES))
+
+
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters: no pattern needed."""
+    return F.octet_length(text) == F.char_length(text)
 
 
 def empty_to_null(text: Column) -> Column:
@@ -34,10 +40,7 @@ def drop_hidden(html: Column) -> Column:
 
 def break_list_items(html: Column) -> Column:
     """Put a newline behind the first link of each list item, so menu entries stay apart."""
-    mark = C.SEGMENT_MARK
-    marked = F.regexp_replace(html, C.LIST_ITEM_START, mark + "$1")
-    marked = F.regexp_replace(marked, C.LIST_ITEM_END, "$1" + mark)
-    segments = F.split(marked, mark)
+    segments = F.split(html, C.LIST_ITEM_BORDER)
     return F.array_join(
         F.transform(segments, lambda s: F.regexp_replace(s, C.FIRST_LINK_END, "$1\n$2")), ""
     )
@@ -80,12 +83,14 @@ def decode_entities(text: Column) -> Column:
 def transliterate(text: Column) -> Column:
     """Latin letters, signs and typographic marks to ASCII; other scripts stay.
 
-    Most texts of a crawl are ASCII already and skip the work.
+    Texts that are ASCII already skip the work.
     """
-    ascii_text = F.translate(text, C.TRANSLATE_FROM, C.TRANSLATE_TO)
-    for char, replacement in C.MULTI_ASCII.items():
-        ascii_text = F.replace(ascii_text, F.lit(char), F.lit(replacement))
-    return F.when(text.rlike(C.NON_ASCII), ascii_text).otherwise(text)
+    single = F.translate(text, C.TRANSLATE_FROM, C.TRANSLATE_TO)
+    # the few characters with several replacement letters: only those that occur are replaced
+    table = F.create_map(*[F.lit(x) for pair in C.MULTI_ASCII.items() for x in pair])
+    present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{''.join(C.MULTI_ASCII)}]"), F.lit(0)))
+    ascii_text = F.aggregate(present, single, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    return F.when(is_ascii(text), text).otherwise(ascii_text)
 
 
 def strip_markup(text: Column) -> Column:
@@ -167,7 +172,9 @@ def has_letter(text: Column) -> Column:
 
 
 def whitespace_tokens(text: Column) -> Column:
-    return F.filter(F.split(text, f"{C.SPACE}+"), lambda t: t != "")
+    """Tokens between white space of any kind; ASCII texts need the short pattern only."""
+    parts = F.when(is_ascii(text), F.split(text, f"{C.ASCII_SPACE}+")).otherwise(F.split(text, f"{C.SPACE}+"))
+    return F.filter(parts, lambda t: t != "")
 
 
 def word_set(text: Column) -> Column:
@@ -184,10 +191,7 @@ def split_sentences(text: Column, abbreviations: Iterable[str] = ()) -> Column:
     known = sorted(set(abbreviations), key=lambda a: (-len(a), a))
     masked = text
     if known:
-        pattern = abbreviation_pattern(known)
-        # neighbouring abbreviations share a blank, which one pass cannot match twice
-        for _ in range(2):
-            masked = F.regexp_replace(masked, pattern, "$1$2" + C.MASK_MARK)
+        masked = F.regexp_replace(text, abbreviation_pattern(known), "$1" + C.MASK_MARK)
     marked = F.regexp_replace(masked, C.SENTENCE_END + r"\s+", "$1" + C.SEGMENT_MARK)
     parts = F.split(marked, C.SEGMENT_MARK)
     restored = F.transform(parts, lambda p: strip(F.translate(p, C.MASK_MARK, " ")))
@@ -195,17 +199,27 @@ def split_sentences(text: Column, abbreviations: Iterable[str] = ()) -> Column:
 
 
 def abbreviation_pattern(abbreviations: Iterable[str]) -> str:
+    """An abbreviation that starts a word, with the blank behind it.
+
+    Where all of them are dotted words, a word is looked up only if it ends in a dot.
+    """
     choices = "|".join(escape_literal(a) for a in abbreviations)
-    return rf"(?i)(^|[^\w.])({choices})\s+"
+    dotted = all(re.fullmatch(r"[A-Za-z0-9_.]*\.", a) for a in abbreviations)
+    guard = r"(?=[\w.]++(?<=\.)\s)" if dotted else ""
+    return rf"(?i)(?<![\w.]){guard}({choices})\s+"
 
 
-def letter_tokens(text: Column) -> Column:
-    """Lower-case runs of letters."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
+def letter_tokens(text: Column, known: Iterable[str]) -> Column:
+    """Lower-case runs of letters that are known words."""
+    listed = list(known)
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), lambda t: t.isin(*listed))
 
 
 def language_votes(tokens: Column, words: Mapping[str, Iterable[str]]) -> dict[str, Column]:
-    """Function words of each language among the tokens: one count per language."""
+    """Function words of each language among the tokens: one count per language.
+
+    ``tokens`` should hold words of the lists only, see ``letter_tokens``.
+    """
 
     def votes(known: Iterable[str]) -> Column:
         listed = list(known)

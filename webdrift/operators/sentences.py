@@ -27,7 +27,7 @@ def detect_language(
     words = dict(words or C.FUNCTION_WORDS)
     names = dict(names or C.LANGUAGE_NAMES)
     votes = X.language_votes(F.col("_tokens"), words)
-    counted = df.withColumn("_tokens", X.letter_tokens(F.col(text))).withColumn(
+    counted = df.withColumn("_tokens", X.letter_tokens(F.col(text), sorted({w for listed in words.values() for w in listed}))).withColumn(
         "_votes", F.struct(*[v.alias(k) for k, v in votes.items()])
     )
     best = F.greatest(*[F.col(f"_votes.{lang}") for lang in words])

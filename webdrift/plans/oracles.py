@@ -67,7 +67,7 @@ def normalized(text: str) -> str:
 
 def visible_text(source: str, key: str) -> str:
     """CTEs ending in ``visible(key, text)`` from ``source(key, html)``."""
-    items = sub(sub("h", C.LIST_ITEM_START, r"chr(1) || '\1'"), C.LIST_ITEM_END, r"'\1' || chr(1)")
+    items = sub(sub("h", r"(?i)(<li\b)", r"chr(1) || '\1'"), r"(?i)(</li\s*>)", r"'\1' || chr(1)")
     first_link = f"regexp_replace(s, {quote(C.FIRST_LINK_END)}, '\\1' || chr(10) || '\\2')"
     tag = f"regexp_extract(html, {quote(C.META_DESCRIPTION)}, 0)"
     content = (
