@@ -43,11 +43,11 @@ MISSING_PERIOD_LINEAR = r"(\s[A-Z]?[a-z]{2,}+)([.{3,}]*+[(.)]*+)([A-Z][a-z]++)"
 # Comments, scripts and styles in one pass: whichever starts first wins; an unclosed
 # one reaches to the end of the page, as in a browser.
 HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b[^>]*>.*?(?:</script\s*>|\z)"
-    r"|<style\b[^>]*>.*?(?:</style\s*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)"
+    r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
+    r"|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
-TAG = r"""</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|<[!?][^>]*+>"""
+TAG = r"""<(?:/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[!?][^>]*+>)"""
 LIST_ITEM_BORDER = r"(?i)(?=</?li\b)"
 FIRST_LINK_END = r"(?is)^(<li\b.*?<a\s[^>]*\bhref\b[^>]*>.*?)(</a\s*>)"
 META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']?description["'\s/][^>]*>"""
@@ -63,6 +63,11 @@ SPACE = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 LINE_BREAK = r"[\n-\r\x1c-\x1e]"
+# a line break or two blanks, with one character class in front for speed
+PIECE_BREAK = r"[\n-\r\x1c-\x1e ](?:(?<! )|(?<= ) )"
+# as NEWLINE_AFTER_TEXT for texts without empty lines, looking at newlines only
+SINGLE_NEWLINE_AFTER_TEXT = r"\n(?<=[^!.?]\n)"
+NON_ASCII = r"[^\x00-\x7F]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 
 SEGMENT_MARK = "\x01"

@@ -86,30 +86,41 @@ def transliterate(text: Column) -> Column:
     Texts that are ASCII already skip the work.
     """
     single = F.translate(text, C.TRANSLATE_FROM, C.TRANSLATE_TO)
-    # the few characters with several replacement letters: only those that occur are replaced
+    # of the characters with several replacement letters only those that occur are replaced
     table = F.create_map(*[F.lit(x) for pair in C.MULTI_ASCII.items() for x in pair])
-    present = F.array_distinct(F.regexp_extract_all(text, F.lit(f"[{''.join(C.MULTI_ASCII)}]"), F.lit(0)))
-    ascii_text = F.aggregate(present, single, lambda t, c: F.replace(t, c, F.element_at(table, c)))
+    present = F.array_distinct(F.regexp_extract_all(text, F.lit(C.NON_ASCII), F.lit(0)))
+    ascii_text = F.aggregate(
+        present, single, lambda t, c: F.coalesce(F.replace(t, c, F.try_element_at(table, c)), t)
+    )
     return F.when(is_ascii(text), text).otherwise(ascii_text)
 
 
+def _without(text: Column, pattern: str) -> Column:
+    """Texts without an opening bracket, as most are by then, skip the pattern."""
+    bracket = F.contains(text, F.lit("<")) | F.contains(text, F.lit("{"))
+    return F.when(bracket, F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
 def strip_markup(text: Column) -> Column:
-    return F.regexp_replace(text, C.MARKUP, "")
+    return _without(text, C.MARKUP)
 
 
 def strip_markup_repeated(text: Column) -> Column:
-    return F.regexp_replace(text, C.MARKUP_REPEATED, "")
+    return _without(text, C.MARKUP_REPEATED)
 
 
 def normalize_lines(text: Column) -> Column:
     """Trim lines, cut them at double blanks, drop empty pieces, one piece per line."""
-    pieces = F.split(text, f"{C.LINE_BREAK}|  ")
+    pieces = F.split(text, C.PIECE_BREAK)
     return F.array_join(F.filter(F.transform(pieces, strip), lambda p: p != ""), "\n")
 
 
 def newline_to_sentence(text: Column) -> Column:
     """A newline ends a sentence: add a period unless an end mark is there."""
-    return F.translate(F.regexp_replace(text, C.NEWLINE_AFTER_TEXT, "$1. "), "\n", " ")
+    ended = F.when(
+        F.contains(text, F.lit("\n\n")), F.regexp_replace(text, C.NEWLINE_AFTER_TEXT, "$1. ")
+    ).otherwise(F.regexp_replace(text, C.SINGLE_NEWLINE_AFTER_TEXT, ". "))
+    return F.replace(ended, F.lit("\n"), F.lit(" "))
 
 
 def meta_description(html: Column) -> Column:

@@ -36,7 +36,9 @@ def visible_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
         .withColumn("_body", X.drop_tags(X.break_list_items(F.col("_body"))))
         .withColumn("_body", X.decode_entities(F.col("_body")))
         .withColumn("_body", X.transliterate(F.col("_body")))
-        .withColumn("_body", X.newline_to_sentence(X.normalize_lines(X.strip_markup(F.col("_body")))))
+        .withColumn("_body", X.strip_markup(F.col("_body")))
+        .withColumn("_body", X.normalize_lines(F.col("_body")))
+        .withColumn("_body", X.newline_to_sentence(F.col("_body")))
         .withColumn("_about", X.meta_description(F.col(html)))
         .withColumn("_about", X.decode_entities(F.col("_about")))
         .withColumn(text, X.prefix_description(F.col("_about"), F.col("_body")))
@@ -46,9 +48,8 @@ def visible_text(pages: DataFrame, html: str = "html", text: str = "text") -> Da
 
 def clean_text(df: DataFrame, text: str = "text") -> DataFrame:
     """Transliterate, remove left-over markup, trim, and drop texts with nothing left."""
-    cleaned = df.withColumn(text, X.transliterate(F.col(text))).withColumn(
-        text, X.strip(X.strip_markup_repeated(F.col(text)))
-    )
+    cleaned = df.withColumn(text, X.transliterate(F.col(text)))
+    cleaned = cleaned.withColumn(text, X.strip(X.strip_markup_repeated(F.col(text))))
     return filter_computed(cleaned, text, lambda t: t != "")
 
 
