@@ -94,25 +94,28 @@ def score(model, df: DataFrame, vector: str) -> DataFrame:
 def training_rows(df: DataFrame, key: str, rows_per_task: int = 5_000) -> Iterator[tuple[DataFrame, int]]:
     """The rows cached for the passes of a fit, and their number.
 
-    Where the input comes in fewer partitions than the cores could use, with at least
-    ``rows_per_task`` rows each, it is dealt out.  Rows are then placed and ordered by
-    key, which makes a repeated fit see the same partitions.  Where partitions hold
-    fewer rows than that, they are read together: a fit pays per task in every pass.
+    Small inputs (fewer times ``rows_per_task`` rows than cores) are dealt out to as many
+    tasks as are useful, placed and ordered by key, so that the same rows give the same
+    fit however they were stored.  Large inputs stay where they are; only partitions
+    with too few rows are read together, as a fit pays per task in every pass.
     """
+    cores = df.sparkSession.sparkContext.defaultParallelism
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = cached.count()
     useful = max(1, math.ceil(n / rows_per_task))
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, useful)
     parts = cached.rdd.getNumPartitions()
     try:
-        if parts > useful:
-            yield cached.coalesce(useful), n
+        if useful > cores:
+            if parts < cores:
+                narrow, cached = cached, cached.repartition(cores, key).persist(StorageLevel.MEMORY_AND_DISK)
+                cached.count()
+                narrow.unpersist()
+            yield (cached.coalesce(useful) if parts > useful else cached), n
             return
-        if parts < wanted:
-            narrow, cached = cached, cached.repartition(wanted, key).sortWithinPartitions(key)
-            cached = cached.persist(StorageLevel.MEMORY_AND_DISK)
-            cached.count()
-            narrow.unpersist()
+        placed = cached.repartition(useful, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+        placed.count()
+        cached.unpersist()
+        cached = placed
         yield cached, n
     finally:
         cached.unpersist()
