@@ -6,7 +6,6 @@ import time
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from webdrift import constants as C
 from webdrift.functions import text as X
