@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from webdrift.llm.mixing import op8_mixing
 from webdrift.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLES: dict[str, str] = {}
