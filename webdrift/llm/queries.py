@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from webdrift.llm.decontamination import op10_decontamination
 from webdrift.llm.mixing import op8_mixing
+from webdrift.llm.quality_rules import op4_quality_rules
 from webdrift.llm.sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op8_mixing": op8_mixing,
+    "op4_quality_rules": op4_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
 
