@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from webdrift.llm.decontamination import op10_decontamination
+from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.mixing import op8_mixing
 from webdrift.llm.quality_rules import op4_quality_rules
 from webdrift.llm.sharding import op1_sharding
@@ -10,6 +11,7 @@ from webdrift.llm.sharding import op1_sharding
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op8_mixing": op8_mixing,
+    "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op10_decontamination": op10_decontamination,
 }
