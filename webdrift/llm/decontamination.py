@@ -152,6 +152,15 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFra
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs`` (any columns) less those in which an item is found; rows alike in doc_id and text go together."""
+    found = leaks(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text"), items, similarity)
+    leaked = found.select(F.col("doc_id.doc_id").alias("leaked_id"), F.col("doc_id.text").alias("leaked_text")).distinct()
+    nested = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_text"))
+    alike = F.col("row_id").eqNullSafe(F.col("leaked_id")) & (F.col("row_text") == F.col("leaked_text"))
+    return nested.join(leaked, alike, "left_anti").select("row.*")
+
+
 def op10_decontamination(spark, folder: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and the window."""
     items = spark.read.parquet(f"{folder.rstrip('/')}/benchmark.parquet").select("item_id", "text")

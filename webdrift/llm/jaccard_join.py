@@ -265,11 +265,11 @@ def _blocks(rows: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (doc_id, text) -> one row per text key: key, first_id, n_rows, links, class_id.
+    """docs (doc_id, text) -> one row per text key: key, first_id, n_rows, links, class_id, root.
 
     key: md5 of the text (null: as the empty text); first_id: smallest doc_id with it; links: different
     texts of at least the threshold's similarity; class_id: smallest doc_id of all texts that are
-    connected by links.
+    connected by links; root: a key of one of these.
 
     A text without words has no links.  doc_ids that are null come last; if all of a class are
     null, so is class_id.  Repeated rows are copies.  An empty table gives an empty result.
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     told = firsts.join(counts, "key", "left").join(classes, "key", "left").na.fill(0, ["links"])
     told = told.withColumn("root", F.coalesce("root", "key"))
     smallest = told.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    return told.join(smallest, "root").select("key", "first_id", "n_rows", "links", "class_id")
+    return told.join(smallest, "root").select("key", "first_id", "n_rows", "links", "class_id", "root")
 
 
 def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -321,6 +321,28 @@ def labelled(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
 
 
+def one_of_each_group(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents of ``docs`` (any columns) that stay: one per group of texts connected by links.
+
+    It is the one with the smallest doc_id of the group; of rows that share that and the text, one.
+    Groups whose doc_ids are all null keep the text with the smallest key.
+    """
+    names = docs.columns
+    found = near_duplicates(docs.select("doc_id", "text"), threshold)
+    order = F.struct(F.col("first_id").isNull(), F.col("first_id"), F.col("key"))
+    kept = found.groupBy("root").agg(F.min_by(F.struct("key", "first_id"), order).alias("kept")).select("kept.*")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    keyed = docs.select(F.struct(*names).alias("row"), "doc_id", key.alias("key"))
+    rows = kept.select(F.col("key").alias("kept_key"), "first_id").join(
+        keyed, (F.col("key") == F.col("kept_key")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    )
+    # rows alike in doc_id and text are rare and the only ones to be brought together
+    times = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    single = rows.join(times, "key", "left_anti")
+    double = rows.join(times, "key", "left_semi").dropDuplicates(["key"])
+    return single.unionByName(double).select("row.*").select(*names)
+
+
 def op2_jaccard_join(spark, folder: str) -> DataFrame:
     """Class and number of links of every document."""
     return labelled(documents(spark, folder).select("doc_id", "text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from webdrift.llm.decontamination import op10_decontamination
 from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.mixing import op8_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
