@@ -8,6 +8,7 @@ from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.mixing import op8_mixing
 from webdrift.llm.quality_rules import op4_quality_rules
 from webdrift.llm.sharding import op1_sharding
+from webdrift.llm.suffix_dedup import op9_suffix_dedup
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality_rules": op4_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 
