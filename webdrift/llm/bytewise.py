@@ -55,9 +55,10 @@ class Prefix:
     """Hashes of any stretches of a byte array, from one running sum."""
 
     def __init__(self, data: np.ndarray):
+        """data: bytes, or 64-bit values to be hashed instead."""
         power, self.back = _power(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:-1], out=self.sums[1:])
+        np.cumsum((_BYTE[data] if data.dtype == np.uint8 else data) * power[:-1], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mixed((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
