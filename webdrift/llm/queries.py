@@ -5,10 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 from webdrift.llm.decontamination import op10_decontamination
 from webdrift.llm.jaccard_join import op2_jaccard_join
+from webdrift.llm.language_id import op6_language_id
 from webdrift.llm.mixing import op8_mixing
 from webdrift.llm.quality_rules import op4_quality_rules
 from webdrift.llm.sharding import op1_sharding
 from webdrift.llm.suffix_dedup import op9_suffix_dedup
+from webdrift.llm.token_counts import op7_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -17,6 +19,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_token_counts": op7_token_counts,
     "pipeline": corpus_pipeline.run,
 }
 
