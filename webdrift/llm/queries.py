@@ -7,6 +7,7 @@ from webdrift.llm.decontamination import op10_decontamination
 from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.language_id import op6_language_id
 from webdrift.llm.mixing import op8_mixing
+from webdrift.llm.pii import op5_pii
 from webdrift.llm.quality_classifier import op3_quality_classifier
 from webdrift.llm.quality_rules import op4_quality_rules
 from webdrift.llm.sharding import op1_sharding
@@ -23,6 +24,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_pii": op5_pii,
     "pipeline": corpus_pipeline.run,
 }
 
