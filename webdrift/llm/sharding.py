@@ -35,7 +35,7 @@ def ring(spark, shards: int, virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """
     nodes = (
         spark.range(shards * virtual_nodes)
-        .select((F.col("id") % shards).cast("int").alias("node_shard"), F.col("id").alias("replica"))
+        .select((F.col("id") % shards).cast("int").alias("node_shard"), F.floor(F.col("id") / shards).alias("replica"))
         .select("node_shard", _slot(F.lit("node"), "node_shard", "replica").alias("node"))
         .groupBy("node").agg(F.min("node_shard").alias("node_shard"))
     )
