@@ -101,9 +101,8 @@ def test_one_of_each_group(spark, odd_rows):
     kept = jaccard_join.one_of_each_group(frame)
     assert kept.columns == frame.columns
     want = brute.classes(pairs(rows))
-    got = [r.doc_id for r in kept.collect()]
-    assert Counter(d for d in got if d is not None) == Counter({want[t or ""][0] for _, t in rows} - {None}) + Counter(
-        {d: 1 for d in (90,)} if sum(want[t or ""][0] == 90 for t in {t for d, t in pairs(rows) if d == 90}) > 1 else {})
+    got = Counter(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    assert got == Counter({want[t or ""][0] for _, t in pairs(rows)} - {None})
 
 
 def test_quality_rules(spark, odd_folder, folder, odd_rows, docs):
