@@ -73,11 +73,13 @@ def _bands(name: str) -> list[Column]:
 
 def _neighbours(name: str) -> Column:
     """All band values within NEAR bits of each band of ``name``."""
-    all_of = []
-    for band, width in zip(_bands(name), WIDTHS):
+    found, low = [], 0
+    for number, width in enumerate(WIDTHS):
         masks = [0] + [sum(1 << b for b in bits) for n in range(1, NEAR + 1) for bits in combinations(range(width), n)]
-        all_of += [band.bitwiseXOR(F.lit(m)) for m in masks]
-    return F.array(*all_of)
+        band = f"({number << 16}L + (shiftrightunsigned({name}, {low}) & {(1 << width) - 1}))"
+        found.append(f"transform(array({', '.join(map(str, masks))}), m -> {band} ^ m)")
+        low += width
+    return F.expr(f"concat({', '.join(found)})")
 
 
 def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -87,15 +89,16 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFra
     n_words of the window, hamming.  Ties go to the earlier window.
 
     Null and empty texts match nothing.  Documents with equal doc_id and text give the same rows
-    once; items with equal text are each reported.  Other columns are not looked at.
+    once; items with equal text are each reported, and null item_ids as null.  Other columns are not looked at.
     Empty tables give an empty result.
     """
     items = checkpointed(numbered(
-        items.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SHINGLE),
+        items.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SHINGLE)
+        .withColumn("item", F.monotonically_increasing_id()),
         "item_words", "item_shingles",
     ).withColumn("hashes", F.expr("transform(item_words, w -> xxhash64(w))"))
      .withColumn("item_print", fingerprint("hashes"))
-     .select("item_id", F.size("item_words").alias("item_n"), "item_words", "item_shingles", "item_print"))
+     .select("item", "item_id", F.size("item_words").alias("item_n"), "item_words", "item_shingles", "item_print"))
 
     # where an item of which length would begin, given one of its shingles
     anchors = checkpointed(
@@ -133,16 +136,16 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFra
     )
     # search distinct fingerprints: a passage in many documents is looked up once
     prints = windows.select("print").distinct().withColumn("band", F.explode(F.array(*_bands("print"))))
-    filed = items.select("item_id", "item_print", F.explode(_neighbours("item_print")).alias("band"))
+    filed = items.select("item", "item_print", F.explode(_neighbours("item_print")).alias("band"))
     hamming = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     near = (
         prints.join(filed, "band").withColumn("hamming", hamming).filter(F.col("hamming") <= RADIUS)
-        .select("print", "item_id", "hamming").distinct()
+        .select("print", "item", "hamming").distinct()
     )
     shared = F.size(F.array_intersect("window_shingles", "item_shingles")) / F.size("item_shingles")
     pairs = (
         numbered(windows, "window", "window_shingles").join(near, "print")
-        .join(items.select("item_id", "item_shingles"), "item_id")
+        .join(items.select("item", "item_id", "item_shingles"), "item")
         .withColumn("similarity", shared).filter(F.col("similarity") >= similarity)
     )
     best = F.max_by(
