@@ -25,22 +25,33 @@ def brute_force(queries, base, k):
     return result
 
 
-@pytest.mark.parametrize("block_rows", [20_000, 25])
+@pytest.mark.parametrize("block_bytes", [64 << 20, 2_000])
 @pytest.mark.parametrize("size", [2, 16])
-def test_knn_is_exact_with_many_copies(spark, block_rows, size):
+def test_knn_is_exact_with_many_copies(spark, block_bytes, size):
     rng = np.random.default_rng(3)
     base = [(i, rng.normal(size=size).round(3).tolist()) for i in range(300)]
     base += [(300 + i, [0.5] * size) for i in range(150)]
     queries = [(i, rng.normal(size=size).tolist()) for i in range(60)] + [(60 + i, [0.5] * size) for i in range(40)]
     schema = "id int, v array<double>"
     rows = knn.knn(spark.createDataFrame(queries, schema), spark.createDataFrame(base, schema), "id", "id", "v", 3,
-                   block_rows=block_rows)
+                   block_bytes=block_bytes)
     got = {}
     for r in rows.orderBy("id", "rank").collect():
         got.setdefault(r.id, []).append(r.neighbour)
     assert got == brute_force(queries, base, 3)
 
 
+def test_knn_refuses_an_unbounded_base(spark):
+    base = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id int, v array<double>")
+    with pytest.raises(ValueError, match="at most 1"):
+        knn.knn(base, base, "id", "id", "v", 1, max_base=1)
+
+
+def test_knn_moves_no_query_vector(spark, vectors):
+    near = knn.knn(vectors, vectors, "vec_id", "vec_id", "embedding", 2)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+
+
 def test_knn_with_fewer_rows_than_k(spark):
     base = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id int, v array<double>")
     rows = knn.knn(base, base, "id", "id", "v", 5)
@@ -105,7 +116,7 @@ def test_settings_are_drawn_without_repeats():
     drawn = classifiers.draw_settings()
     assert len(drawn) == 50 == len({tuple(d.values()) for d in drawn})
     assert drawn == classifiers.draw_settings()
-    assert len(classifiers.draw_settings(n=10_000)) == 1760
+    assert len(classifiers.draw_settings(n=10_000)) == 160 and {d["max_depth"] for d in drawn} == {30}
 
 
 def test_random_search(vectors):

@@ -47,7 +47,11 @@ HIDDEN = (
     r"|script\b[^>]*>.*?(?:</script\s*>|\z)"
     r"|style\b[^>]*>.*?(?:</style\s*>|\z))"
 )
-TAG = r"""<(?:/?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[!?][^>]*+>)"""
+# a quote opens a quoted value only behind an equals sign; elsewhere it is a plain character
+TAG = (
+    r"""<(?:/?[a-zA-Z](?:[^>=]++|=[=\s]*+(?:"[^"]*+"|'[^']*+'|[^\s"'>=]))*+(?:=[=\s]*+)?>"""
+    r"""|[!?][^>]*+>)"""
+)
 LIST_ITEM_BORDER = r"(?i)(?=</?li\b)"
 FIRST_LINK_END = r"(?is)^(<li\b.*?<a\s[^>]*\bhref\b[^>]*>.*?)(</a\s*>)"
 META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']?description["'\s/][^>]*>"""
@@ -72,6 +76,7 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 
 SEGMENT_MARK = "\x01"
 MASK_MARK = "\x02"
+UNCLOSED_MARKS = "\x03\x04"
 
 
 def re2(pattern: str) -> str:
@@ -154,6 +159,8 @@ REVIEW_ROWS = 50
 HISTOGRAM_BINS = 100
 MIN_DOCUMENT_FREQUENCY = 100
 WORD_VECTOR_SIZE = 200
+WORD_VECTOR_PASSES = 5
+WORD_VECTOR_PARTS = 8
 REGISTER_SAMPLE = 20_000
 EMBEDDING_SIZE = 768
 ENCODE_BATCH = 10_000
@@ -163,6 +170,8 @@ SEARCH_GRID = {
     "max_depth": [100, 200, 300, 400, 500, 600, 700, 800, 900, 1000, None],
     "min_samples_split": [2, 5, 10, 100],
 }
+# Spark's trees stop at this depth: "no limit" and all depths above mean it
+TREE_DEPTH = 30
 SEARCH_DRAWS = 50
 SEARCH_FOLDS = 5
 # ----------------------------------------------------------------------------------

@@ -95,10 +95,25 @@ def transliterate(text: Column) -> Column:
     return F.when(is_ascii(text), text).otherwise(ascii_text)
 
 
+def _mask_unclosed(text: Column, opening: str, closing: str, mark: str) -> Column:
+    """Opening brackets behind the last closing one become ``mark``: they cannot match."""
+    last = F.char_length(text) - F.instr(F.reverse(text), closing) + 1
+    last = F.when(F.contains(text, F.lit(closing)), last).otherwise(0)
+    return F.concat(F.substr(text, F.lit(1), last), F.translate(F.substr(text, last + 1), opening, mark))
+
+
 def _without(text: Column, pattern: str) -> Column:
-    """Texts without an opening bracket, as most are by then, skip the pattern."""
+    """Texts without an opening bracket, as most are by then, skip the pattern.
+
+    A bracket that is never closed would be looked at to the end of the text, many of them in
+    quadratic time; they are out of the pattern's sight.
+    """
     bracket = F.contains(text, F.lit("<")) | F.contains(text, F.lit("{"))
-    return F.when(bracket, F.regexp_replace(text, pattern, "")).otherwise(text)
+    angle, curly = C.UNCLOSED_MARKS
+    marked = _mask_unclosed(_mask_unclosed(text, "<", ">", angle), "{", "}", curly)
+    cut = F.translate(F.regexp_replace(marked, pattern, ""), C.UNCLOSED_MARKS, "<{")
+    strange = F.contains(text, F.lit(angle)) | F.contains(text, F.lit(curly))
+    return F.when(bracket, F.when(strange, F.regexp_replace(text, pattern, "")).otherwise(cut)).otherwise(text)
 
 
 def strip_markup(text: Column) -> Column:
@@ -135,7 +150,7 @@ def meta_description(html: Column) -> Column:
 
 def prefix_description(description: Column, text: Column) -> Column:
     """Put the description in front of the text as a sentence of its own."""
-    glue = F.when(description.rlike("[.!?]$"), " ").otherwise(". ")
+    glue = F.when(description.rlike(r"[.!?]\z"), " ").otherwise(". ")
     return F.coalesce(F.concat(description, glue, text), text)
 
 
@@ -197,13 +212,16 @@ def word_tokens(text: Column, min_chars: int = 3) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{C.WORD_CHAR}{{{min_chars},}}"), F.lit(0))
 
 
-def split_sentences(text: Column, abbreviations: Iterable[str] = ()) -> Column:
-    """Sentences of a text as an array; a known abbreviation does not end a sentence."""
+def split_sentences(text: Column, abbreviations: Iterable[str] = (), end_marks: str = C.SENTENCE_END) -> Column:
+    """Sentences of a text as an array; a known abbreviation does not end a sentence.
+
+    ``end_marks``: pattern of one group, behind which white space ends a sentence.
+    """
     known = sorted(set(abbreviations), key=lambda a: (-len(a), a))
     masked = text
     if known:
         masked = F.regexp_replace(text, abbreviation_pattern(known), "$1" + C.MASK_MARK)
-    marked = F.regexp_replace(masked, C.SENTENCE_END + r"\s+", "$1" + C.SEGMENT_MARK)
+    marked = F.regexp_replace(masked, end_marks + r"\s+", "$1" + C.SEGMENT_MARK)
     parts = F.split(marked, C.SEGMENT_MARK)
     restored = F.transform(parts, lambda p: strip(F.translate(p, C.MASK_MARK, " ")))
     return F.filter(restored, lambda p: p != "")

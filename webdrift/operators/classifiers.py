@@ -29,8 +29,6 @@ from webdrift.operators.qda import fit_qda
 
 FEATURES = "_features"
 LABEL = "_label"
-# Spark's trees stop at this depth; "no limit" and the search's 100..1000 all mean it
-MAX_DEPTH = 30
 
 
 def with_features(df: DataFrame, vector: str, label: str | None = None) -> DataFrame:
@@ -64,18 +62,24 @@ def mlp(size: int, seed: int = C.SEED):
     return _base(ML.MultilayerPerceptronClassifier(layers=[size, 100, 2], maxIter=200, seed=seed))
 
 
+# statistics of more nodes per pass: deep trees take fewer passes
+TREE_MEMORY = {"maxMemoryInMB": 1024, "cacheNodeIds": True}
+
+
 def tree(seed: int = C.SEED):
-    return _base(ML.DecisionTreeClassifier(maxDepth=MAX_DEPTH, seed=seed))
+    return _base(ML.DecisionTreeClassifier(maxDepth=C.TREE_DEPTH, seed=seed, **TREE_MEMORY))
 
 
 def random_forest(
     trees: int = 100, max_features: str | int = "sqrt", max_depth: int | None = None,
-    min_split: int = 2, seed: int = C.SEED,
+    min_leaf: int = 1, seed: int = C.SEED,
 ):
-    """``min_split`` (least rows to split a node) is met by leaves of half that size."""
+    """``max_depth`` None is as deep as Spark's trees go; more than that is refused."""
+    if max_depth is not None and max_depth > C.TREE_DEPTH:
+        raise ValueError(f"trees of depth {max_depth} cannot be grown; {C.TREE_DEPTH} at most")
     return _base(ML.RandomForestClassifier(
         numTrees=trees, featureSubsetStrategy=str(max_features), seed=seed,
-        maxDepth=min(MAX_DEPTH, max_depth or MAX_DEPTH), minInstancesPerNode=max(1, min_split // 2),
+        maxDepth=max_depth or C.TREE_DEPTH, minInstancesPerNode=min_leaf, **TREE_MEMORY,
     ))
 
 
@@ -94,31 +98,21 @@ def score(model, df: DataFrame, vector: str) -> DataFrame:
 def training_rows(df: DataFrame, key: str, rows_per_task: int = 5_000) -> Iterator[tuple[DataFrame, int]]:
     """The rows cached for the passes of a fit, and their number.
 
-    Small inputs (fewer times ``rows_per_task`` rows than cores) are dealt out to as many
-    tasks as are useful, placed and ordered by key, so that the same rows give the same
-    fit however they were stored.  Large inputs stay where they are; only partitions
-    with too few rows are read together, as a fit pays per task in every pass.
+    They are dealt out to as many tasks as are useful, placed and ordered by key, so that the
+    same rows give the same fit however they were stored and on however many cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    n = cached.count()
-    useful = max(1, math.ceil(n / rows_per_task))
-    parts = cached.rdd.getNumPartitions()
     try:
-        if useful > cores:
-            if parts < cores:
-                narrow, cached = cached, cached.repartition(cores, key).persist(StorageLevel.MEMORY_AND_DISK)
-                cached.count()
-                narrow.unpersist()
-            yield (cached.coalesce(useful) if parts > useful else cached), n
-            return
+        n = cached.count()
+        useful = max(1, math.ceil(n / rows_per_task))
         placed = cached.repartition(useful, key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
         placed.count()
-        cached.unpersist()
-        cached = placed
-        yield cached, n
     finally:
         cached.unpersist()
+    try:
+        yield placed, n
+    finally:
+        placed.unpersist()
 
 
 # trees do much work per row
@@ -173,9 +167,21 @@ def compare(
 def draw_settings(
     grid: Mapping[str, Sequence] = C.SEARCH_GRID, n: int = C.SEARCH_DRAWS, seed: int = C.SEED
 ) -> list[dict]:
-    """n different settings of the grid."""
-    every = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    return random.Random(seed).sample(every, min(n, len(every)))
+    """n settings of the grid, different ones as Spark runs them.
+
+    Depths above Spark's limit, and None, are the limit; ``min_samples_split`` becomes the least
+    size of a leaf, half of it.  Both are reported as they are used.
+    """
+    every = {}
+    for values in itertools.product(*grid.values()):
+        setting = dict(zip(grid, values))
+        depth = min(setting["max_depth"] or C.TREE_DEPTH, C.TREE_DEPTH)
+        used = {
+            "n_estimators": setting["n_estimators"], "max_features": setting["max_features"],
+            "max_depth": depth, "min_leaf": max(1, setting["min_samples_split"] // 2),
+        }
+        every[tuple(used.values())] = used
+    return random.Random(seed).sample(list(every.values()), min(n, len(every)))
 
 
 def random_search(
@@ -196,8 +202,7 @@ def random_search(
 
     def forest(setting: dict):
         return random_forest(
-            setting["n_estimators"], setting["max_features"], setting["max_depth"],
-            setting["min_samples_split"], seed,
+            setting["n_estimators"], setting["max_features"], setting["max_depth"], setting["min_leaf"], seed,
         )
 
     def accuracy(model, rows: DataFrame) -> float:
@@ -220,12 +225,12 @@ def random_search(
             seen = [r[2] for r in results if r[0] == number and r[2] is not None]
             rows.append((
                 number, setting["n_estimators"], str(setting["max_features"]), setting["max_depth"],
-                setting["min_samples_split"], sum(held) / len(held), sum(seen) / len(seen),
+                setting["min_leaf"], sum(held) / len(held), sum(seen) / len(seen),
             ))
         rows.sort(key=lambda r: (-r[5], r[0]))
         best = forest(settings[rows[0][0]]).fit(data)
     schema = (
-        "draw int, n_estimators int, max_features string, max_depth int, min_samples_split int, "
+        "draw int, n_estimators int, max_features string, max_depth int, min_leaf int, "
         "mean_test_accuracy double, mean_train_accuracy double, rank int"
     )
     ranked = [(*row, place) for place, row in enumerate(rows, 1)]

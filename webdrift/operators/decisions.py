@@ -13,6 +13,10 @@ from webdrift.operators import metrics
 from webdrift.operators import similarity
 
 
+# centroids that are sent to all tasks: 8 MB at 1,000 components
+MOST_CENTROIDS = 1_000
+
+
 def rollup_company(
     scored: DataFrame, company: str, truth: str = "innov", prediction: str = "rf_pred_lab", proba: str = "rf_proba"
 ) -> DataFrame:
@@ -75,8 +79,12 @@ def centroid_distance(
 ) -> DataFrame:
     """Cosine distance of each row to the centroid of its cluster.
 
-    There are few centroids; the optimiser broadcasts them when their size allows it.
+    There are few centroids, far fewer than rows: if they are (checked here, by one run of
+    their query), they go to the rows; otherwise the rows move.
     """
+    centroids = centroids.persist()
+    if centroids.limit(MOST_CENTROIDS + 1).count() <= MOST_CENTROIDS:
+        centroids = F.broadcast(centroids)
     return rows.join(centroids, list(keys), how).withColumn(
         "distance_from_centroid", V.cosine_distance(F.col(vector), F.col(centroid))
     ).drop(centroid)

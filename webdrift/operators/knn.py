@@ -1,57 +1,53 @@
-"""Exact k-nearest-neighbour search between two vector tables.
-
-Not a cross join: both tables are cut into cells around pivot vectors, a query visits
-only the cells that can hold one of its neighbours, and inside a cell it meets the base
-rows in blocks of bounded size that return k rows per query.  Large cells (a third of
-all rows may be copies of one vector) are cut into as many blocks as they need, on both
-sides, so no task holds a whole cell.  All bounds follow from the triangle inequality,
-so nothing is lost; how many cells a query can skip depends on the data.
+"""Exact k-nearest-neighbour search of many query vectors among a bounded base.
+
+The base (labelled rows) goes to the tasks in blocks of ``block_bytes``, the queries stay where
+they are: no query vector is shuffled or copied.  A base of one block gives the result in
+one pass over the queries; of more blocks each gives k rows per query, and only these are
+merged.  The cost per query is that of the base, whose size ``max_base`` bounds.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webdrift import constants as C
-from webdrift.operators.sampling import sample_rows
-
-MAX_PIVOTS = 1024
-BLOCK_ROWS = 20_000
-_CHUNK = 1024
+MAX_BASE = 2_000_000
+BLOCK_BYTES = 64 << 20
+_CHUNK = 256
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances of all rows of a to all rows of b, by one matrix product."""
-    d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
-
-
-def _nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int):
-    """Row and distance of the k nearest base rows per query, nearest first, ties by id.
+def _nearest(queries: np.ndarray, base: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, distances) of the k nearest base rows per query, nearest first, ties by place in ``ids`` order.
 
     The matrix product selects candidates with a margin for its rounding; the distances
     of the candidates are then computed from the differences.
     """
+    k = min(k, len(base))
+    lengths = (base * base).sum(1)
+    found, distances = [], []
     for start in range(0, len(queries), _CHUNK):
         q = queries[start:start + _CHUNK]
-        rough = _squared(q, base)
-        limit = np.partition(rough, min(k, rough.shape[1]) - 1, axis=1)[:, min(k, rough.shape[1]) - 1]
-        scale = (q * q).sum(1) + (base * base).sum(1).max()
-        for i in range(len(q)):
-            near = np.flatnonzero(rough[i] <= limit[i] + 1e-9 * scale[i])
-            exact = np.sqrt(((base[near] - q[i]) ** 2).sum(1))
-            best = np.lexsort((ids[near], exact))[:k]
-            yield start + i, near[best], exact[best]
+        own = (q * q).sum(1)
+        rough = own[:, None] + lengths[None, :] - 2.0 * (q @ base.T)
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + lengths.max())
+        at, near = np.nonzero(rough <= limit[:, None])
+        exact = np.sqrt(((base[near] - q[at]) ** 2).sum(1))
+        order = np.lexsort((ids[near], exact, at))
+        at, near, exact = at[order], near[order], exact[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        found.append(near[rank < k].reshape(len(q), k))
+        distances.append(exact[rank < k].reshape(len(q), k))
+    return np.concatenate(found), np.concatenate(distances)
 
 
 def knn(
@@ -62,104 +58,59 @@ def knn(
     vector: str,
     k: int,
     carry: str | None = None,
-    seed: int = C.SEED,
-    block_rows: int = BLOCK_ROWS,
+    max_base: int = MAX_BASE,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, neighbour, rank, distance[, carry]) of the k nearest base rows per query.
 
-    Euclidean distance, ties by id.  ``carry`` is a base column to bring along (a label).
-    Runs three small jobs first: base count, pivot sample, rows per cell (at most
-    ``MAX_PIVOTS`` counts each).
+    Euclidean distance, ties by id.  ``carry`` is a base column to bring along (a label).  A base
+    of more than ``max_base`` rows is refused: it is a labelled sample, to be drawn beforehand.
     """
     n_base = base.count()
     if n_base == 0:
         raise ValueError("no base rows")
-    n_pivots = min(MAX_PIVOTS, max(1, math.isqrt(n_base) // 2))
-    sample = sample_rows(base.select(base_id, vector), base_id, n_pivots, seed)
-    pivots = _matrix(sample.limit(n_pivots).toPandas()[vector])
+    if n_base > max_base:
+        raise ValueError(f"{n_base} base rows; at most {max_base}, draw a sample")
     carried = {c: dict(base.dtypes)[c] for c in [carry] if c}
     id_type, query_type = dict(base.dtypes)[base_id], dict(queries.dtypes)[query_id]
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = np.sqrt(_squared(_matrix(batch["v"]), pivots))
-                cell = d.argmin(axis=1)
-                yield batch.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
-
+    plain = base.select(F.col(base_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *carried)
+    width = plain.select(F.size("v")).first()[0]
+    blocks = math.ceil(n_base * width * 8 / block_bytes)
     extra = "".join(f", {c} {t}" for c, t in carried.items())
-    cells = base.select(F.col(base_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), *carried).mapInPandas(
-        assign, f"id {id_type}, v array<double>{extra}, cell int, radius double"
-    )
-    stats = (
-        cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi"))
-        .toPandas()
-    )
-    used = stats["cell"].to_numpy()
-    size, lo, hi = stats["n"].to_numpy(), stats["lo"].to_numpy(), stats["hi"].to_numpy()
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for start in range(0, len(batch), _CHUNK):
-                part = batch.iloc[start:start + _CHUNK]
-                d = np.sqrt(_squared(_matrix(part["v"]), pivots[used]))
-                # k rows lie within reach: the nearest cells that hold k rows, to their far end
-                far = d + hi
-                order = far.argsort(axis=1, kind="stable")
-                enough = (size[order].cumsum(axis=1) >= min(k, n_base)).argmax(axis=1)
-                rows = np.arange(len(part))
-                reach = far[rows, order[rows, enough]]
-                near = np.maximum(np.maximum(d - hi, lo - d), 0.0)
-                slack = 1e-6 * (1.0 + reach)
-                open_cells = near <= (reach + slack)[:, None]
-                yield part.assign(cells=[used[row].astype("int32") for row in open_cells])
-
-    # one row per query leaves Python; copies per cell are made by explode, as a stream
-    routed = queries.select(
-        F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")
-    ).mapInPandas(route, f"q {query_type}, v array<double>, cells array<int>").select(
-        "q", "v", F.explode("cells").alias("cell")
-    )
-    visits = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    base_parts = {int(c): math.ceil(n / block_rows) for c, n in zip(used, size)}
-    query_parts = {int(c): math.ceil(n / block_rows) for c, n in zip(visits["cell"], visits["n"])}
-
-    def parts(counts: dict[int, int]) -> F.Column:
-        many = {c: n for c, n in counts.items() if n > 1}
-        if not many:
-            return F.lit(1)
-        table = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-        return F.coalesce(F.try_element_at(table, F.col("cell")), F.lit(1))
-
-    # every block of a cell's base rows meets every block of the queries that visit it
-    def blocks(df: DataFrame, own: dict[int, int], other: dict[int, int], key: str, names: tuple[str, str]) -> DataFrame:
-        return df.withColumn(names[0], F.pmod(F.xxhash64(key), parts(own)).cast("int")).withColumn(
-            names[1], F.explode(F.sequence(F.lit(0), parts(other) - 1))
+    schema = f"q {query_type}, id {id_type}, rank int, distance double{extra}"
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+
+    def search(block: pd.DataFrame) -> DataFrame:
+        sent = queries.sparkSession.sparkContext.broadcast(
+            (_matrix(block["v"]), block["id"].to_numpy(), {c: block[c].to_numpy() for c in carried})
         )
 
-    left = blocks(routed, query_parts, base_parts, "q", ("qb", "bb"))
-    right = blocks(cells.drop("radius"), base_parts, query_parts, "id", ("bb", "qb"))
-
-    def search(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        names = ["q", "id", "distance", *carried]
-        if len(q) == 0 or len(b) == 0:
-            return pd.DataFrame({n: [] for n in names})
-        ids, keys = b["id"].to_numpy(), q["q"].to_numpy()
-        rows, found, distances = [], [], []
-        for i, near, exact in _nearest(_matrix(q["v"]), _matrix(b["v"]), ids, k):
-            rows.append(np.repeat(i, len(near)))
-            found.append(near)
-            distances.append(exact)
-        hit = np.concatenate(found)
-        out = {"q": keys[np.concatenate(rows)], "id": ids[hit], "distance": np.concatenate(distances)}
-        return pd.DataFrame({**out, **{c: b[c].to_numpy()[hit] for c in carried}})
-
-    candidates = left.groupBy("cell", "qb", "bb").cogroup(right.groupBy("cell", "qb", "bb")).applyInPandas(
-        search, f"q {query_type}, id {id_type}, distance double{extra}"
-    )
-    window = Window.partitionBy("q").orderBy("distance", "id")
-    ranked = candidates.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("id").alias("neighbour"), "rank", "distance", *carried)
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            vectors, ids, values = sent.value
+            for batch in batches:
+                if len(batch):
+                    near, distance = _nearest(_matrix(batch["v"]), vectors, ids, k)
+                    n = near.shape[1]
+                    hit = near.ravel()
+                    yield pd.DataFrame({
+                        "q": np.repeat(batch["q"].to_numpy(), n), "id": ids[hit], "rank": np.tile(np.arange(1, n + 1), len(batch)),
+                        "distance": distance.ravel(), **{c: v[hit] for c, v in values.items()},
+                    })
+
+        return asked.mapInPandas(run, schema)
+
+    parts = []
+    for number in range(blocks):
+        block = plain if blocks == 1 else plain.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
+        rows = block.toPandas()
+        if len(rows):
+            parts.append(search(rows))
+    found = parts[0]
+    if len(parts) > 1:
+        order = Window.partitionBy("q").orderBy("distance", "id")
+        merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
+        found = merged.where(F.col("rank") <= k)
+    return found.select(F.col("q").alias(query_id), F.col("id").alias("neighbour"), "rank", "distance", *carried)
 
 
 def knn_classify(

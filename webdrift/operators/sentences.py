@@ -50,10 +50,11 @@ def explode_sentences(
     text: str = "text",
     abbreviations: Iterable[str] = C.ABBREVIATIONS,
     position: str = "sent_pos",
+    end_marks: str = C.SENTENCE_END,
 ) -> DataFrame:
     """One row per sentence; the other columns of the text row go along."""
     others = [c for c in df.columns if c != text]
-    sentences = X.split_sentences(F.col(text), abbreviations)
+    sentences = X.split_sentences(F.col(text), abbreviations, end_marks)
     return df.select(*others, F.posexplode(sentences).alias(position, text))
 
 

@@ -59,9 +59,13 @@ def cosine_by_key(
     """Cosine similarity of the same company at two times.
 
     Companies are matched by key, so only the n pairs that are wanted are computed, not
-    an n x n matrix.  Companies without a partner are dropped before the mean.
+    an n x n matrix.  Both times are averaged in one pass, and only means are shuffled;
+    companies without a partner are dropped behind it.
     """
-    in_old, in_new = old.select(key).distinct(), new.select(key).distinct()
-    a = mean_vectors(old.join(in_new, key, "left_semi"), [key], vector, "_old")
-    b = mean_vectors(new.join(in_old, key, "left_semi"), [key], vector, "_new")
-    return a.join(b, key).withColumn(out, V.cosine_similarity(F.col("_old"), F.col("_new"))).drop("_old", "_new")
+    both = old.select(key, F.lit(0).alias("_time"), vector).unionByName(new.select(key, F.lit(1).alias("_time"), vector))
+    means = mean_vectors(both.where(F.col(key).isNotNull()), [key, "_time"], vector, "_mean")
+    sides = means.groupBy(key).agg(*[
+        F.first(F.when(F.col("_time") == time, F.col("_mean")), True).alias(name) for time, name in ((0, "_old"), (1, "_new"))
+    ])
+    paired = sides.where(F.col("_old").isNotNull() & F.col("_new").isNotNull())
+    return paired.withColumn(out, V.cosine_similarity(F.col("_old"), F.col("_new"))).drop("_old", "_new")

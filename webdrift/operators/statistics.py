@@ -58,7 +58,8 @@ def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
     If a band should miss the median the query fails rather than return a wrong value.
     """
     x = F.col("x")
-    values = df.select(F.col(value).cast("double").alias("x")).where(x.isNotNull())
+    # read by all passes; the column may be costly to compute
+    values = df.select(F.col(value).cast("double").alias("x")).where(x.isNotNull()).persist()
     margin = 2.0 / _ACCURACY
     ends = F.approx_percentile("x", [0.5 - margin, 0.5 + margin], _ACCURACY)
     wide = values.agg(ends.alias("e")).select(F.struct(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi")))
@@ -108,7 +109,8 @@ def _upper_rank(n: Column) -> Column:
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """Count, least, greatest, mean and exact median of a column in one row."""
-    x = F.col(value).cast("double")
+    df = df.select(F.col(value).cast("double").alias(value)).persist()
+    x = F.col(value)
     stats = df.agg(
         F.count(x).alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean")
     )

@@ -26,11 +26,11 @@ def id_map(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts of the same entity at two times."""
+    """Texts of the same entity at two times: every turn of a conversation and the next one."""
     turns = read_table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    old = turns.where("turn = 0").select("conv_id", F.col("text").alias("text_old"))
-    new = turns.where("turn = 1").select("conv_id", F.col("text").alias("text_new"))
-    return old.join(new, "conv_id")
+    old = turns.select("conv_id", "turn", F.col("text").alias("text_old"))
+    new = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("text_new"))
+    return old.join(new, ["conv_id", "turn"])
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +40,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
         "vec_id", "embedding", "label",
         (label % 2).alias("innov"),
         (label * 10 + vec % 10).alias("company"),
-        F.when(vec % 2 == 0, 3).otherwise(12).alias("scrape"),
+        F.when(F.floor(vec / 10) % 2 == 0, 3).otherwise(12).alias("scrape"),
         (vec % 20).cast("int").alias("cluster"),
     )
 

@@ -145,10 +145,10 @@ def numbered(array: str, keys: str, source: str, name: str, first: int = 0) -> s
 
 COMPANIES = "SELECT d.doc_id, d.text, d.lang, d.source, l.quality AS innov FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 ID_MAP = "SELECT doc_id AS id_nhr, CAST(floor(doc_id / 2) AS BIGINT) AS beid FROM documents"
-PAIRS = """SELECT a.conv_id, a.text AS text_old, b.text AS text_new
-FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id WHERE a.turn = 0 AND b.turn = 1"""
+PAIRS = """SELECT a.conv_id, a.turn, a.text AS text_old, b.text AS text_new
+FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 VECTORS = """SELECT vec_id, embedding, CAST(embedding AS DOUBLE[]) AS e, label, label % 2 AS innov,
-label * 10 + vec_id % 10 AS company, CASE WHEN vec_id % 2 = 0 THEN 3 ELSE 12 END AS scrape,
+label * 10 + vec_id % 10 AS company, CASE WHEN CAST(floor(vec_id / 10) AS BIGINT) % 2 = 0 THEN 3 ELSE 12 END AS scrape,
 CAST(vec_id % 20 AS INTEGER) AS cluster FROM embeddings"""
 SCORED = f"""SELECT *, CASE WHEN innov = 1 AND rf_pred_lab = 1 AND rf_proba >= 0.75 THEN 'correct_high'
 WHEN innov = 0 AND rf_pred_lab = 1 AND rf_proba >= 0.75 THEN 'wrong_high'
@@ -174,10 +174,8 @@ def six(value: str) -> str:
 ORACLES["scan_pages"] = "SELECT page_id, url, html FROM pages"
 ORACLES["page_rejects"] = """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'unreadable' ELSE 'empty' END AS status
 FROM pages WHERE page_id % 7 = 0 OR page_id % 11 = 0"""
-ORACLES["scan_parquet"] = "SELECT vec_id, label FROM embeddings"
 ORACLES["csv_roundtrip"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 ORACLES["csv_semicolon_roundtrip"] = ORACLES["csv_roundtrip"]
-ORACLES["parquet_roundtrip"] = f"SELECT vec_id, company, innov, scrape FROM ({VECTORS}) WHERE scrape = 12"
 ORACLES["text_files_by_key"] = """SELECT doc_id, replace(text, chr(10), ' ') AS text,
 CAST(len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS INTEGER) AS line_count
 FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
@@ -252,8 +250,7 @@ JOIN labels b ON a.doc_id = CAST(floor(b.doc_id / 2) AS BIGINT) AND a.innov = b.
 ORACLES["join_id_map"] = f"SELECT id_nhr, beid, lang, source FROM ({ID_MAP}) m JOIN documents d ON m.id_nhr = d.doc_id"
 ORACLES["semi_join"] = "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
 ORACLES["anti_join"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
-ORACLES["union_scrapes"] = """SELECT conv_id, 3 AS scrape, text FROM conversations WHERE turn = 0
-UNION ALL SELECT conv_id, 12, text FROM conversations WHERE turn = 1"""
+ORACLES["union_scrapes"] = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 3 ELSE 12 END AS scrape, text FROM conversations"""
 ORACLES["union_missing_columns"] = """SELECT doc_id, lang, CAST(NULL AS INTEGER) AS quality, source FROM documents
 UNION ALL SELECT doc_id, NULL, quality, NULL FROM labels"""
 _SAMPLE = """SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (ORDER BY md5(concat(doc_id, '42'))) AS i
@@ -270,7 +267,7 @@ def components(array: str, keys: str, source: str) -> str:
 
 
 ORACLES["vector_slice"] = components("embedding[9:24]", "vec_id", "embeddings")
-ORACLES["pack_vector"] = components("[embedding[1], embedding[6], embedding[10]]", "vec_id", "embeddings")
+ORACLES["pack_vector"] = components("embedding", "vec_id", "embeddings")
 
 
 def mean_vector(keys: str, source: str) -> str:
@@ -279,6 +276,8 @@ def mean_vector(keys: str, source: str) -> str:
     return f"SELECT {keys}, pos, avg(v) AS v FROM ({rows}) GROUP BY {keys}, pos"
 
 
+ORACLES["scan_parquet"] = components("embedding", "vec_id, label", "embeddings")
+ORACLES["parquet_roundtrip"] = components("embedding", "vec_id, company, innov, scrape", f"({VECTORS})")
 ORACLES["mean_vector_by_key"] = f"SELECT company, pos, {six('v')} AS value FROM ({mean_vector('company', VECTORS)})"
 ORACLES["cosine_same_key"] = f"""
 WITH m AS ({mean_vector('label, scrape', VECTORS)})
@@ -290,10 +289,10 @@ def word_set(text: str) -> str:
     return f"list_distinct({SPACE_TOKENS.replace('(text,', f'({text},')})"
 
 
-OVERLAP = f"""SELECT conv_id, CAST(a - c AS INTEGER) AS n_only_old, CAST(b - c AS INTEGER) AS n_only_new, CAST(c AS INTEGER) AS n_common,
+OVERLAP = f"""SELECT conv_id, turn, CAST(a - c AS INTEGER) AS n_only_old, CAST(b - c AS INTEGER) AS n_only_new, CAST(c AS INTEGER) AS n_common,
 CAST(c AS DOUBLE) / nullif(a + b - c, 0) AS word_similarity
-FROM (SELECT conv_id, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c
-      FROM (SELECT conv_id, {word_set('text_old')} AS x, {word_set('text_new')} AS y FROM ({PAIRS})))"""
+FROM (SELECT conv_id, turn, len(x) AS a, len(y) AS b, len(list_intersect(x, y)) AS c
+      FROM (SELECT conv_id, turn, {word_set('text_old')} AS x, {word_set('text_new')} AS y FROM ({PAIRS})))"""
 ORACLES["word_jaccard"] = f"SELECT * REPLACE ({six('word_similarity')} AS word_similarity) FROM ({OVERLAP})"
 
 
@@ -306,7 +305,7 @@ ORACLES["word_similarity_hist"] = f"""WITH o AS ({OVERLAP})
 SELECT CAST(least(floor((word_similarity - lo) / (hi - lo) * 100), 99) AS INTEGER) AS bin, count(*) AS n
 FROM o, (SELECT min(word_similarity) AS lo, max(word_similarity) AS hi FROM o) GROUP BY 1"""
 ORACLES["similarity_summary"] = summary("word_similarity", OVERLAP)
-# the earlier scrape has even vec_id, so only even ids occur; the first id per company is even too
+# of a company's two ids the first, which is even, counts
 _OLD = f"SELECT vec_id, CAST(floor((vec_id % 60) / 2) AS BIGINT) AS beid, e FROM ({VECTORS}) WHERE scrape = 3 AND (vec_id % 60) % 2 = 0"
 _NEW = f"SELECT vec_id, CAST(floor((vec_id % 60) / 2) AS BIGINT) AS beid, e FROM ({VECTORS}) WHERE scrape = 12"
 DRIFT = f"""
@@ -393,8 +392,8 @@ ORDER BY distance_from_centroid {order}, vec_id) AS INTEGER) AS rank, vec_id FRO
 
 
 _CORRECT = f"SELECT * FROM ({DISTANCES}) WHERE bucket IN ('correct_high', 'correct_low')"
-ORACLES["cluster_top_n"] = extremes(DISTANCES, "ASC", 10)
-ORACLES["cluster_bottom_n"] = extremes(DISTANCES, "DESC", 10)
+ORACLES["cluster_top_n"] = extremes(DISTANCES, "ASC", 50)
+ORACLES["cluster_bottom_n"] = extremes(DISTANCES, "DESC", 50)
 ORACLES["cluster_review"] = f"""SELECT *, 'nearest' AS side FROM ({extremes(_CORRECT, 'ASC', 50)})
 UNION ALL SELECT *, 'farthest' FROM ({extremes(_CORRECT, 'DESC', 50)})"""
 

@@ -84,8 +84,7 @@ def concept_drift(
 ) -> DataFrame:
     """Company report of the later scrape under the old model, with the change in F1.
 
-    The old scrape's report is that of the rows the model was fitted on, where ``old``
-    is the training scrape.
+    ``old`` must be rows of the earlier scrape that the model has not seen.
     """
     before = company_report(classifiers.score(model, old, vector), company, truth, threshold)
     after = company_report(classifiers.score(model, new, vector), company, truth, threshold)
@@ -97,7 +96,7 @@ def external_validation(
     model, known: DataFrame, external: DataFrame, key: str, vector: str, company: str, truth: str,
     threshold: float = C.BEST_THRESHOLD,
 ) -> DataFrame:
-    """Sentence and company reports for entities the model has not seen."""
+    """Sentence and company reports for entities (``key``) that are not among the known ones."""
     unseen = relational.anti_join(external, known, key)
     scored = classifiers.score(model, unseen, vector)
     per_sentence = metrics.classification_report(scored, truth, "pred").withColumn("level", F.lit("sentence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -123,11 +124,11 @@ def write_parquet(
 def work_folder(spark: SparkSession) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without the setting; it gets a temporary folder.
+    Only a session in one process may go without the setting; it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="webdrift-")
     return f"{base.rstrip('/')}/webdrift-{uuid.uuid4().hex}"
