@@ -94,6 +94,11 @@ def test_entities(column):
     assert column(X.decode_entities, text) == ["a & b 'x' € &lt; &bogus; & \xa0| &#0; &#99999999;"]
 
 
+def test_entities_without_semicolon(column):
+    texts = ["&copy 2020 &copyright &#65 &#x41g &amp&lt &notit; &bogus &", "&#00000065; &eacute;t&eacute &AMP;"]
+    assert column(X.decode_entities, *texts) == ["© 2020 ©right A Ag &< ¬it; &bogus &", "&#00000065; été &"]
+
+
 def visible(spark, *html):
     rows = spark.createDataFrame(list(enumerate(html)), "id int, html string")
     return [r.text for r in pages.visible_text(rows).orderBy("id").collect()]
@@ -111,6 +116,28 @@ def test_visible_text(spark):
     ) == ["TOne. Two three", "Home. News. All", "", "a < b and c", "link"]
 
 
+def test_a_quote_in_a_tag_loses_no_text(spark):
+    page = "<p>Start</p><a title=it's>Hello world</a> we don't <b>x</b>"
+    assert visible(spark, page, '<a b = "1>2" c=\'>\' d=e"f g=>t</a>') == ["StartHello world we don't x", "t"]
+
+
+def test_unclosed_brackets_take_no_time(column):
+    start = time.time()
+    texts = ["a<b>" + "<" * 200_000 + "{" * 200_000, "{" * 200_000 + "<b>c", "<" * 200_000 + "{d}", "<x{y>{z"]
+    assert column(X.strip_markup, *texts) == [
+        "a" + "<" * 200_000 + "{" * 200_000, "{" * 200_000 + "c", "<" * 200_000, "{z",
+    ]
+    assert time.time() - start < 30
+
+
+def test_description_ending_in_a_newline(spark):
+    assert visible(spark, '<meta name="description" content="Hi.\n"><p>T</p>') == ["Hi.\n. T"]
+
+
+def test_end_marks_are_an_argument(column):
+    assert column(lambda t: X.split_sentences(t, end_marks="(;)"), "a. b; c")[0] == ["a. b;", "c"]
+
+
 def test_description(spark):
     body = "<p>Home.</p>"
     assert visible(

@@ -8,7 +8,7 @@ that engines without possessive quantifiers and look-behind accept.
 from __future__ import annotations
 
 import unicodedata
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 # --- fixed values: text normalisation patterns ------------------------------------
 PHONE = r"[\+\(\d-]?[1-9][0-9 .\-\(\)]{7,}[0-9]"
@@ -57,7 +57,12 @@ FIRST_LINK_END = r"(?is)^(<li\b.*?<a\s[^>]*\bhref\b[^>]*>.*?)(</a\s*>)"
 META_DESCRIPTION = r"""(?is)<meta\b[^>]*\bname\s*=\s*["']?description["'\s/][^>]*>"""
 META_CONTENT_DOUBLE = r'(?is)\bcontent\s*=\s*"([^"]*)"'
 META_CONTENT_SINGLE = r"(?is)\bcontent\s*=\s*'([^']*)'"
-ENTITY = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+ENTITY_NAME = r"^([A-Za-z][A-Za-z0-9]{1,31});"
+# decimal, hexadecimal, and the names that browsers also take without a semicolon, longest first
+ENTITY_OPEN = (
+    r"^(?:#([0-9]{1,7})(?:[^0-9]|$)|#[xX]([0-9a-fA-F]{1,6})(?:[^0-9a-fA-F]|$)|("
+    + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))) + "))"
+)
 
 # white space as Python's str.split / str.strip see it
 ASCII_SPACE = r"[\t-\r\x1c-\x20]"
@@ -117,6 +122,7 @@ TRANSLATE_TABLE = _single_ascii()
 TRANSLATE_FROM = "".join(TRANSLATE_TABLE)
 TRANSLATE_TO = "".join(TRANSLATE_TABLE.values())
 ENTITY_CHARS = {name: chr(point) for name, point in sorted(name2codepoint.items())}
+ENTITY_CHARS |= {name: char for name, char in sorted(html5.items()) if name[-1] != ";"}
 
 # --- fixed values: dotted abbreviations of the ten lists ------------------------------
 ABBREVIATIONS = [

@@ -51,7 +51,10 @@ def drop_tags(html: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode named and numeric character references, each exactly once."""
+    """Decode named and numeric character references, each exactly once.
+
+    As in a browser, numeric references and the oldest names need no semicolon.
+    """
     names = F.create_map(*[F.lit(x) for pair in C.ENTITY_CHARS.items() for x in pair])
 
     def char_of(point: Column) -> Column:
@@ -59,22 +62,30 @@ def decode_entities(text: Column) -> Column:
         return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
 
     def decode_piece(piece: Column) -> Column:
-        code, rest = piece["code"], piece["rest"]
-        decoded = (
-            F.when(code == "", F.lit(None).cast("string"))
-            .when(code.rlike("^#[xX]"), char_of(F.conv(F.substring(code, 3, 8), 16, 10).cast("long")))
-            .when(code.startswith("#"), char_of(F.substring(code, 2, 8).cast("long")))
-            .otherwise(F.try_element_at(names, code))
+        rest, name = piece["rest"], piece["name"]
+        decimal, hexadecimal, open_name = piece["decimal"], piece["hexadecimal"], piece["open"]
+        char = (
+            F.when(decimal != "", char_of(decimal.cast("long")))
+            .when(hexadecimal != "", char_of(F.conv(hexadecimal, 16, 10).cast("long")))
+            .when(open_name != "", F.try_element_at(names, open_name))
         )
+        length = F.length(decimal) + F.length(hexadecimal) + F.length(open_name)
+        length = length + F.when(decimal != "", 1).when(hexadecimal != "", 2).otherwise(0)
+        behind = F.substr(rest, length + 1)
         return F.coalesce(
-            F.concat(decoded, F.substr(rest, F.length(code) + 2)),
+            F.concat(F.when(name != "", F.try_element_at(names, name)), F.substr(rest, F.length(name) + 2)),
+            F.concat(char, F.when(behind.startswith(";"), F.substr(behind, F.lit(2))).otherwise(behind)),
             F.concat(F.lit("&"), rest),
         )
 
     pieces = F.split(text, "&")
     tail = F.transform(
         F.slice(pieces, F.lit(2), F.size(pieces)),
-        lambda p: F.struct(F.regexp_extract(p, C.ENTITY, 1).alias("code"), p.alias("rest")),
+        lambda p: F.struct(
+            F.regexp_extract(p, C.ENTITY_NAME, 1).alias("name"), F.regexp_extract(p, C.ENTITY_OPEN, 1).alias("decimal"),
+            F.regexp_extract(p, C.ENTITY_OPEN, 2).alias("hexadecimal"), F.regexp_extract(p, C.ENTITY_OPEN, 3).alias("open"),
+            p.alias("rest"),
+        ),
     )
     decoded = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(tail, decode_piece), ""))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)

@@ -33,19 +33,21 @@ def transliterate(text: str) -> str:
 
 def decode_entities(text: str) -> str:
     names = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in C.ENTITY_CHARS.items())
-    code = f"regexp_extract(p, {quote(C.ENTITY)}, 1)"
+    name = f"regexp_extract(p, {quote(C.ENTITY_NAME)}, 1)"
+    decimal, hexadecimal, plain = (f"regexp_extract(p, {quote(C.ENTITY_OPEN)}, {i})" for i in (1, 2, 3))
 
     def char(number: str) -> str:
         valid = f"({number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111)"
         return f"CASE WHEN {valid} THEN chr(CAST({number} AS INTEGER)) END"
 
-    hexadecimal = f"CAST('0x' || substr({code}, 3) AS BIGINT)"
-    decimal = f"CAST(substr({code}, 2) AS BIGINT)"
-    decoded = (
-        f"CASE WHEN {code} = '' THEN NULL WHEN {code} LIKE '#x%' OR {code} LIKE '#X%' THEN {char(hexadecimal)} "
-        f"WHEN {code} LIKE '#%' THEN {char(decimal)} ELSE (MAP {{{names}}})[{code}] END"
-    )
-    piece = f"coalesce({decoded} || substr(p, length({code}) + 2), '&' || p)"
+    def behind(skip: str) -> str:
+        return f"regexp_replace(substr(p, {skip}), '^;', '')"
+
+    table = f"(MAP {{{names}}})"
+    piece = f"""CASE WHEN {name} <> '' AND {table}[{name}] IS NOT NULL THEN {table}[{name}] || substr(p, length({name}) + 2)
+    WHEN {decimal} <> '' THEN coalesce({char(f"CAST({decimal} AS BIGINT)")} || {behind(f"length({decimal}) + 2")}, '&' || p)
+    WHEN {hexadecimal} <> '' THEN coalesce({char(f"CAST('0x' || {hexadecimal} AS BIGINT)")} || {behind(f"length({hexadecimal}) + 3")}, '&' || p)
+    WHEN {plain} <> '' THEN {table}[{plain}] || {behind(f"length({plain}) + 1")} ELSE '&' || p END"""
     parts = f"string_split({text}, '&')"
     return f"({parts})[1] || array_to_string(list_transform(({parts})[2:], lambda p: {piece}), '')"
 
