@@ -246,6 +246,13 @@ def fit_forest(
         return Pipeline(stages=[random_forest(trees, seed=seed)]).fit(rows)
 
 
+def fit_bernoulli(df: DataFrame, vector: str, label: str, key: str) -> PipelineModel:
+    """The Bernoulli model on all rows of a frame: cheap, and the same on any layout of the rows."""
+    prepared = with_features(df, vector, label).select(key, FEATURES, LABEL)
+    with training_rows(prepared, key) as (rows, _):
+        return bernoulli_nb().fit(rows)
+
+
 def save(model, path: str) -> None:
     model.write().overwrite().save(path)
 

@@ -743,6 +743,43 @@ def external_validation_report(spark, folder):
     return rounded(result, *REPORT)
 
 
+@query
+def nb_save_load_score(spark, folder):
+    """As ``rf_save_load_score`` with the Bernoulli model."""
+    rows = derived.vectors(spark, folder)
+    path = files.work_folder(spark)
+    classifiers.save(classifiers.fit_bernoulli(rows.where("scrape = 3"), "embedding", "innov", "vec_id"), path)
+    scored = classifiers.score(classifiers.load(path), rows.where("scrape = 12"), "embedding")
+    return rounded(scored.select("vec_id", "innov", "pred", "proba"), "proba")
+
+
+@query
+def nb_score_rows(spark, folder):
+    rows = derived.vectors(spark, folder)
+    model = classifiers.fit_bernoulli(rows, "embedding", "innov", "vec_id")
+    return rounded(classifiers.score(model, rows, "embedding").select("vec_id", "company", "pred", "proba"), "proba")
+
+
+@query
+def nb_concept_drift_report(spark, folder):
+    """As ``concept_drift_report`` with the Bernoulli model."""
+    rows = derived.vectors(spark, folder)
+    train, held_out = sampling.split(rows.where("scrape = 3"), "vec_id")
+    model = classifiers.fit_bernoulli(train, "embedding", "innov", "vec_id")
+    result = studies.concept_drift(model, held_out, rows.where("scrape = 12"), "embedding", "company", "innov")
+    return rounded(result, *REPORT, "f1_change")
+
+
+@query
+def nb_external_validation_report(spark, folder):
+    """As ``external_validation_report`` with the Bernoulli model."""
+    rows = derived.vectors(spark, folder)
+    known = rows.where("scrape = 3 and company % 3 <> 0")
+    model = classifiers.fit_bernoulli(known, "embedding", "innov", "vec_id")
+    result = studies.external_validation(model, known, rows, "company", "embedding", "company", "innov")
+    return rounded(result, *REPORT)
+
+
 @query
 def cosine_kmeans(spark, folder):
     rows = derived.scored(spark, folder).drop("cluster")

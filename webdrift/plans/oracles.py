@@ -348,7 +348,7 @@ FROM ({ROLLUP}), (SELECT unnest([0.5::DOUBLE, 0.55::DOUBLE, 0.6::DOUBLE]) AS t)"
 ORACLES["threshold_sweep"] = f"SELECT company, rule, threshold, decision FROM ({DECIDED})"
 
 
-def report(source: str, truth: str, guess: str, by: str = "") -> str:
+def report(source: str, truth: str, guess: str, by: str = "", exact: bool = False) -> str:
     """Classification report with one row per class and the three overall rows."""
     group, lead = (f" GROUP BY {by}", f"{by}, ") if by else ("", "")
     per_class = " UNION ALL ".join(
@@ -368,7 +368,7 @@ o AS (SELECT * FROM c
   UNION ALL SELECT {lead}'accuracy', NULL, NULL, count(*) FILTER (t = p) / count(*), count(*) FROM r{group}
   UNION ALL SELECT {lead}'macro avg', {plain}, CAST(sum(support) AS BIGINT) FROM c{group}
   UNION ALL SELECT {lead}'weighted avg', {weighted}, CAST(sum(support) AS BIGINT) FROM c{group})
-SELECT {lead}row_name, {', '.join(f'{six(f)} AS {f}' for f in fields)}, support FROM o"""
+SELECT {lead}row_name, {', '.join(f if exact else f'{six(f)} AS {f}' for f in fields)}, support FROM o"""
 
 
 ORACLES["threshold_report"] = report(DECIDED, "mean_innov", "decision", "rule, threshold")
@@ -457,3 +457,38 @@ ORACLES["class_mean_cov"] = f"""
 WITH x AS ({_COMPONENTS})
 SELECT a.innov AS label, a.pos AS i, b.pos AS j, {six('avg(a.v)')} AS mean_i, {six('covar_samp(a.v, b.v)')} AS covariance
 FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.pos <= b.pos GROUP BY a.innov, a.pos, b.pos"""
+
+
+def bernoulli(train: str, rows: str, columns: str) -> str:
+    """(columns of rows, pred, proba) of a Bernoulli model fitted on ``train``."""
+    return f"""
+WITH t AS ({numbered('e', 'vec_id, innov', f'({train})', 'v')}), x AS ({numbered('e', 'vec_id', f'({rows})', 'v')}),
+prior AS (SELECT innov AS c, count(*) AS n, sum(count(*)) OVER () AS total FROM ({train}) GROUP BY innov),
+theta AS (SELECT innov AS c, pos, (count(*) FILTER (v > 0) + 1.0::DOUBLE) / (count(*) + 2.0::DOUBLE) AS q FROM t GROUP BY ALL),
+fit AS (SELECT vec_id, c, sum(CASE WHEN v > 0 THEN ln(q) ELSE ln(1 - q) END) AS s FROM x JOIN theta ON x.pos = theta.pos GROUP BY vec_id, c),
+score AS (SELECT vec_id, f.c, s + ln((n + 1.0::DOUBLE) / (total + 2.0::DOUBLE)) AS s FROM fit f JOIN prior p ON p.c = f.c),
+wide AS (SELECT vec_id, max(s) FILTER (c = 0) AS s0, max(s) FILTER (c = 1) AS s1 FROM score GROUP BY vec_id)
+SELECT {columns}, CAST(s1 > s0 AS INTEGER) AS pred, 1.0::DOUBLE / (1.0::DOUBLE + exp(s0 - s1)) AS proba
+FROM wide JOIN ({rows}) r ON r.vec_id = wide.vec_id"""
+
+
+def by_company(scored: str, exact: bool = False) -> str:
+    companies = f"""SELECT company, avg(innov) AS mean_innov, CAST(avg(proba) > {C.BEST_THRESHOLD}::DOUBLE AS INTEGER) AS decision
+    FROM ({scored}) GROUP BY company"""
+    return report(companies, "mean_innov", "decision", exact=exact)
+
+
+_EARLY, _LATE = f"SELECT * FROM ({VECTORS}) WHERE scrape = 3", f"SELECT * FROM ({VECTORS}) WHERE scrape = 12"
+ORACLES["nb_save_load_score"] = f"SELECT vec_id, innov, pred, {six('proba')} AS proba FROM ({bernoulli(_EARLY, _LATE, 'r.vec_id, innov')})"
+ORACLES["nb_score_rows"] = f"SELECT vec_id, company, pred, {six('proba')} AS proba FROM ({bernoulli(VECTORS, VECTORS, 'r.vec_id, company')})"
+_MARKED = f"SELECT *, {is_test('vec_id')} AS is_test FROM ({_EARLY})"
+_SEEN, _HELD = (f"SELECT * EXCLUDE (is_test) FROM ({_MARKED}) WHERE {c}" for c in ("NOT is_test", "is_test"))
+_BEFORE = by_company(bernoulli(_SEEN, _HELD, "company, innov"), exact=True)
+_AFTER = by_company(bernoulli(_SEEN, _LATE, "company, innov"), exact=True)
+ORACLES["nb_concept_drift_report"] = f"""SELECT a.row_name, {', '.join(f'{six("a." + f)} AS {f}' for f in ('precision', 'recall', 'f1'))},
+a.support, {six('a.f1 - b.f1')} AS f1_change FROM ({_AFTER}) a JOIN ({_BEFORE}) b ON a.row_name = b.row_name"""
+_KNOWN = f"SELECT * FROM ({VECTORS}) WHERE scrape = 3 AND company % 3 <> 0"
+_UNSEEN = f"SELECT * FROM ({VECTORS}) WHERE company NOT IN (SELECT company FROM ({_KNOWN}))"
+_EXTERNAL = bernoulli(_KNOWN, _UNSEEN, "company, innov")
+ORACLES["nb_external_validation_report"] = f"""SELECT 'sentence' AS level, * FROM ({report(_EXTERNAL, 'innov', 'pred')})
+UNION ALL SELECT 'company', * FROM ({by_company(_EXTERNAL)})"""
