@@ -29,6 +29,7 @@ CONTEXT = 8
 SUPPORT = 3
 DISCLOSURE = 0.9
 MAP_BITS = 23  # 1 MB
+HELD_TERMS = 200_000  # that a task counts before it passes them on
 KINDS = ("email", "ip", "card", "phone")
 
 # a run of name characters is passed over whole, so that a text without @ is read once
@@ -135,8 +136,13 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(bits: np.ndarray):
-    """Texts -> (term, docs): terms whose place is set, with the number of texts of the batch that have them."""
+    """Texts -> (term, docs): terms whose place is set, with the number of texts of the task that have them."""
+    def told(counts: dict[bytes, int]) -> pa.RecordBatch:
+        terms = pa.array([t.decode("utf-8", "replace") for t in counts], pa.string())
+        return pa.RecordBatch.from_arrays([terms, pa.array(counts.values(), pa.int64())], names=["term", "docs"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
         for batch in batches:
             for _, _, data, offsets in slices(batch, "text"):
                 plain = _LOWER[data]
@@ -151,11 +157,14 @@ def _count(bits: np.ndarray):
                 new = np.append(True, (value[1:] != value[:-1]) | (text[1:] != text[:-1]))
                 hit, value = hit[new], value[new]
                 begin = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([plain[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in hit[begin]], pa.string()),
-                     pa.array(np.diff(np.append(begin, len(hit))), pa.int64())],
-                    names=["term", "docs"],
-                )
+                for i, n in zip(hit[begin], np.diff(np.append(begin, len(hit))).tolist()):
+                    term = plain[start[i] : end[i]].tobytes()
+                    counts[term] = counts.get(term, 0) + n
+            if len(counts) > HELD_TERMS:
+                yield told(counts)
+                counts = {}
+        if counts:
+            yield told(counts)
 
     return run
 
