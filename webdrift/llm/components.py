@@ -15,13 +15,17 @@ from webdrift.llm.common import checkpointed
 
 
 def _toward_smallest(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: (u, v) with v < u.  One step; the result has v < u again."""
+    """edges: (u, v) with v < u.  One step; the result has v < u again.
+
+    The smallest neighbours are written before the join: it then shuffles both sides for itself,
+    and adaptive execution can split a node with very many neighbours.
+    """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        moved = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = both.join(checkpointed(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = checkpointed(edges.groupBy("u").agg(F.min("v").alias("m")))
         moved = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.unionByName(least.select("u", F.col("m").alias("v")))
     return moved.distinct()
