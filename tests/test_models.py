@@ -171,3 +171,12 @@ def test_bag_of_words(spark, folder):
     docs = derived.companies(spark, folder).withColumn("lang", F.lit("dutch"))
     result = bag_of_words.repeated_runs(docs, "doc_id", "innov", runs=1, size=8, min_df=10).collect()
     assert [r.run for r in result] == [0] and result[0].n == 18 and 0 <= result[0].accuracy <= 1
+
+
+def test_buckets_without_rows_and_rows_without_bucket(spark, vectors):
+    rows = vectors.select("vec_id", "embedding").withColumn(
+        "bucket", F.when(F.col("vec_id") % 3 == 0, "correct_high").when(F.col("vec_id") % 3 == 1, "other"))
+    found = clusters.cluster_buckets(rows, "embedding", clusters={"correct_high": 3, "wrong_high": 2}, repeats=1)
+    assert found.count() == rows.count()
+    assert found.where("bucket = 'correct_high' and cluster is null").count() == 0
+    assert found.where("bucket is null or bucket = 'other'").where("cluster is not null").count() == 0

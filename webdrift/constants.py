@@ -165,7 +165,7 @@ REVIEW_ROWS = 50
 HISTOGRAM_BINS = 100
 MIN_DOCUMENT_FREQUENCY = 100
 WORD_VECTOR_SIZE = 200
-WORD_VECTOR_PASSES = 5
+WORD_VECTOR_PASSES = 1
 WORD_VECTOR_PARTS = 8
 REGISTER_SAMPLE = 20_000
 EMBEDDING_SIZE = 768

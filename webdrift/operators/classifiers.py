@@ -156,11 +156,12 @@ def compare(
     models: Sequence[str] = MODELS, seed: int = C.SEED,
 ) -> DataFrame:
     """Classification report of every model on the same split."""
-    scored = None
+    scored, train_df = None, train_df.persist(StorageLevel.MEMORY_AND_DISK)
     for name in models:
         part = train(name, train_df, vector, label, key, seed)(test_df)
         part = part.select(F.lit(name).alias("model"), F.col(label).alias("truth"), "pred")
         scored = part if scored is None else scored.unionByName(part)
+    train_df.unpersist()
     return metrics.classification_report(scored, "truth", "pred", by=["model"])
 
 

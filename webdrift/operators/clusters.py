@@ -56,12 +56,16 @@ def cluster_buckets(
 ) -> DataFrame:
     """Cluster each bucket on its own and add ``cluster`` and ``distance_from_centroid``.
 
-    Buckets are a fixed handful; each fit is a distributed job.  Rows in no bucket are
-    left out, as they are not clustered.
+    Buckets are a fixed handful; each fit is a distributed job.  A bucket without rows gives
+    none; rows in no bucket keep a null cluster and distance.
     """
-    parts = []
+    outside = scored.where(F.col(bucket).isNull() | ~F.col(bucket).isin(*clusters))
+    parts = [outside.withColumn("cluster", F.lit(None).cast("int")).withColumn(
+        "distance_from_centroid", F.lit(None).cast("double"))]
     for name, k in clusters.items():
         rows = scored.where(F.col(bucket) == name)
+        if rows.isEmpty():
+            continue
         assigned, centroids = cosine_kmeans(rows, vector, k, repeats, seed)
-        parts.append(centroid_distance(assigned, centroids, ["cluster"], vector, how="left"))
+        parts.append(centroid_distance(assigned, centroids, ["cluster"], vector, how="left").select(*parts[0].columns))
     return reduce(DataFrame.unionByName, parts)

@@ -28,10 +28,11 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
 
     Text work is costly per byte, so a small table in one file would keep one core busy.
     Tables with enough splits, as any large one, are returned as they are, unshuffled.
-    Meant for plain scans.
+    Rows are dealt by a hash of the key, not by the key, so that later steps shuffle as they
+    would on a large table.  Meant for plain scans.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, F.xxhash64(key))
 
 
 def read_html_folder(spark: SparkSession, folder: str, suffix: str = ".html") -> DataFrame:
