@@ -1,6 +1,7 @@
 """Operators against brute force on awkward rows and on the given documents; empty tables; clashing names."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -278,6 +279,32 @@ def test_decontamination_finds_changed_passages(spark, monkeypatch):
     assert [(r.doc_id, r.item_id, r.first_word, r.n_words) for r in found] == [(1, 9, 3, 60)]
 
 
+def test_decontamination_finds_passages_just_similar_enough(spark):
+    rng, docs, items = random.Random(11), [], []
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(4000)]
+    for i in range(40):
+        n = (24, 30, 50, 80)[i % 4]
+        item = [rng.choice(vocabulary) for _ in range(n)]
+        kept = -(-8 * (n - 4) // 10) + 4  # just 0.8 of the shingles, or the next above
+        changed = item[:kept] + [f"x{i}y{j}" for j in range(n - kept)]
+        docs.append((i, " ".join([*rng.choices(vocabulary, k=40), *changed, *rng.choices(vocabulary, k=40)])))
+        items.append((i, " ".join(item)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = decontamination.leaks(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert max(r.hamming for r in got) > 14 and max(r.similarity for r in got) < 0.86
+    assert {(r.doc_id, r.item_id) for r in got} == brute.leaks(docs, items)
+
+
+def test_decontamination_takes_a_short_item_as_one_shingle(spark):
+    docs = [(1, "He asked: who WROTE it? nobody"), (2, "who wrote what it"), (3, None), (4, ""), (5, "who wrote it"), (6, "x")]
+    items = [(1, "Who wrote it"), (2, ""), (3, None), (None, "x"), (5, "wrote it nobody x")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.similarity, r.first_word, r.n_words, r.hamming) for r in decontamination.leaks(frame, given).collect()}
+    assert got == {(1, 1, 1.0, 2, 3, 0), (5, 1, 1.0, 0, 3, 0), (6, None, 1.0, 0, 1, 0)}
+    assert {r.doc_id for r in decontamination.without_leaks(frame, given).collect()} == {2, 3, 4}
+
+
 def test_fingerprints_within_the_radius_share_a_band(spark):
     import random
 

@@ -12,8 +12,9 @@
 4. Verification.  Similarity of a window and an item: the shingles that both have, each counted as
    often as in both, over those of the item.
 
-Words are runs of letters and digits of the lower-case text.  Items of fewer than five words have
-no shingle and are not searched for.
+The radius is a filter before the exact check and has to be wide: a window of similarity 0.8 is 9 to 12
+bits away on average.  Words are runs of letters and digits of the lower-case text.  An item of fewer than
+five words is one shingle of all its words: it is found where these words follow each other (distance 0).
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from webdrift.llm.common import checkpointed, documents
 
 SHINGLE = 5
 BLOCKS = 5  # bands of 13, 13, 13, 13 and 12 bits
-NEAR = 2
+NEAR = 4  # up to 5,166 band values an item
 RADIUS = BLOCKS * (NEAR + 1) - 1
 WIDTHS = [13, 13, 13, 13, 12]
 BROADCAST_ROWS = 1_000_000  # shingles sent to every task at once: 16 MB
@@ -92,8 +93,10 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFra
     once; items with equal text are each reported, and null item_ids as null.  Other columns are not looked at.
     Empty tables give an empty result.
     """
+    listed = items.select("item_id", words(F.col("text")).alias("item_words"))
+    short = checkpointed(listed.filter((F.size("item_words") < SHINGLE) & (F.col("item_words")[0] != "")))
     items = checkpointed(numbered(
-        items.select("item_id", words(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SHINGLE)
+        listed.filter(F.size("item_words") >= SHINGLE)
         .withColumn("item", F.monotonically_increasing_id()),
         "item_words", "item_shingles",
     ).withColumn("hashes", F.expr("transform(item_words, w -> xxhash64(w))"))
@@ -152,9 +155,29 @@ def leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFra
         F.struct("similarity", "first_word", "n_words", "hamming"),
         F.struct("similarity", -F.col("first_word"), -F.col("n_words"), -F.col("hamming")),
     )
+    pairs = pairs.select("doc_id", "item_id", "similarity", "first_word", "n_words", "hamming")
+    pairs = pairs.unionByName(_short_leaks(split, short))
     return pairs.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
 
 
+def _short_leaks(split: DataFrame, short: DataFrame) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word, n_words, hamming): where all words of an item under SHINGLE words follow each other."""
+    sizes = {r["n"]: r["count"] for r in short.groupBy(F.size("item_words").alias("n")).count().collect()}
+    found = short.sparkSession.createDataFrame([], "first_word int, similarity double, n_words int, hamming int").join(
+        split.select("doc_id").limit(0), F.lit(True)).join(short.select("item_id").limit(0), F.lit(True))
+    for n, count in sorted(sizes.items()):
+        some = short.filter(F.size("item_words") == n).select("item_id", "item_words", F.xxhash64("item_words").alias("same"))
+        # explode_outer as above
+        places = split.select("doc_id", "doc_words", F.explode_outer(F.when(
+            F.size("doc_words") >= n, F.sequence(F.lit(0), F.size("doc_words") - n))).alias("first_word"))
+        window = F.slice("doc_words", F.col("first_word") + 1, n)
+        places = places.select("doc_id", "first_word", window.alias("window")).withColumn("same", F.xxhash64("window"))
+        hits = places.join(F.broadcast(some) if count <= BROADCAST_ROWS else some, "same").filter(F.col("window") == F.col("item_words"))
+        found = found.unionByName(hits.select(
+            "doc_id", "item_id", F.lit(1.0).alias("similarity"), "first_word", F.lit(n).alias("n_words"), F.lit(0).alias("hamming")))
+    return found
+
+
 def without_leaks(docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` (any columns) less those in which an item is found; rows alike in doc_id and text go together."""
     found = leaks(docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text"), items, similarity)
