@@ -155,6 +155,17 @@ def test_disclosing_terms(spark):
     assert got[50].text == rows[34][1]
 
 
+def test_disclosing_terms_far_from_the_value_and_without_it(spark):
+    far = " ".join(f"é{k}" for k in range(20))
+    rows = [(i, f"Zorblax signs {i} {far} mail to z@x.org now") for i in range(3)]
+    rows += [(3, "again ZORBLAX, and zorblax but no value"), (4, f"zorblax z@x.org {far} {far} zorblax zorblax@y.org")]
+    rows += [(50 + i, f"{far} mail to now signs nothing") for i in range(200)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    got = {r.doc_id: [text[r.doc_id][s["first"]:s["last"]] for s in r.spans if s["kind"] == "term"] for r in pii.sanitised(frame).collect()}
+    assert got == {d: [] for d, _ in rows} | {d: ["Zorblax"] for d in range(3)} | {3: ["ZORBLAX", "zorblax"], 4: ["zorblax", "zorblax"]}
+
+
 def test_language_id(spark, odd_folder, folder, odd_rows, docs):
     import zlib
 

@@ -1,15 +1,16 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Each value found is a
-protected entity.  A term near an entity may reveal it even when the value itself is masked: the
+protected entity.  A term may reveal an entity even when the value itself is masked: the
 corpus says how strongly.  With documents as events, what a term t tells about an entity e is
 ``log2(p(t, e) / (p(t) p(e)))``, at most the entity's own information ``-log2 p(e)``, reached if t
-occurs with e only.  A term of ``CONTEXT`` words around a value that discloses at least
-``DISCLOSURE`` of the entity's information, seen with it in ``SUPPORT`` documents or more, becomes a
-span of kind ``term``.  Terms are runs of letters and digits, in lower case as far as ASCII goes.
+occurs with e only.  A term that discloses at least ``DISCLOSURE`` of an entity's information, seen with
+it in ``SUPPORT`` documents or more, wherever in these, becomes a span of kind ``term`` at every place in
+every document, with or without the value.  Terms are runs of letters and digits, in lower case as far as ASCII goes.
 
-Counts are over all documents.  Terms near entities are few; the corpus is counted for these
-alone, found by a bit map of fixed size with an exact join behind it.
+Counts are over whole documents, all of them.  Entities of fewer than ``SUPPORT`` documents have no such
+term and are passed over; the corpus is counted for terms seen with the others in ``SUPPORT`` documents.
+Entities and terms are looked up in bit maps of fixed size, with an exact filter or join behind them.
 """
 
 from __future__ import annotations
@@ -25,11 +26,10 @@ from pyspark.sql import functions as F
 from webdrift.llm.bytewise import Prefix, slices, words
 from webdrift.llm.common import checkpointed, documents
 
-CONTEXT = 8
 SUPPORT = 3
 DISCLOSURE = 0.9
 MAP_BITS = 23  # 1 MB
-HELD_TERMS = 200_000  # that a task counts before it passes them on
+HELD_TERMS = 200_000  # terms, or pairs of entity and term, that a task counts before it passes them on
 KINDS = ("email", "ip", "card", "phone")
 
 # a run of name characters is passed over whole, so that a text without @ is read once
@@ -74,53 +74,103 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end): terms up to CONTEXT words before and behind each value."""
-    out = []
-    terms = [m.span() for m in TERM.finditer(text)]
-    starts = [a for a, _ in terms]
+def _free(spans: list[tuple[str, int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of the stretches starts..ends do not overlap a value."""
+    if not spans:
+        return np.ones(len(starts), bool)
     taken = sorted((a, b) for _, a, b in spans)
-    opens, ends = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken])
-    for kind, a, b in spans:
-        entity = f"{kind}:{text[a:b]}"
-        i = int(np.searchsorted(starts, a))
-        j = int(np.searchsorted(starts, b))
-        for s, e in terms[max(0, i - CONTEXT) : i] + terms[j : j + CONTEXT]:
-            k = int(np.searchsorted(opens, e)) - 1  # values that begin before the term ends
-            if k < 0 or ends[k] <= s:
-                out.append((entity, text[s:e].translate(_ASCII_LOWER), s, e))
-    return out
+    opens, closes = [a for a, _ in taken], np.maximum.accumulate([b for _, b in taken])
+    k = np.searchsorted(opens, ends) - 1  # values that begin before the term ends
+    return (k < 0) | (closes[np.maximum(k, 0)] <= starts)
 
 
-FOUND = (
-    "spans array<struct<kind:string,first:int,last:int>>, entities array<string>, "
-    "near array<struct<entity:string,term:string,first:int,last:int>>"
-)
+def free_terms(text: str) -> set[str]:
+    """The different terms of a text that do not overlap its values."""
+    at = np.array([m.span() for m in TERM.finditer(text)], np.int64).reshape(-1, 2)
+    free = at[_free(pattern_spans(text), at[:, 0], at[:, 1])]
+    return {text[a:b].translate(_ASCII_LOWER) for a, b in free.tolist()}
 
 
-def _find(names: list[str]):
+SPANS = "spans array<struct<kind:string,first:int,last:int>>"
+NEAR = "near array<struct<term:string,first:int,last:int>>"
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> (entities, held): the different values of each, and the text itself if it has any."""
+    for batch in batches:
+        entities, held = [], []
+        for value in batch.column(batch.schema.get_field_index("text")):
+            text = value.as_py() or ""
+            own = pattern_spans(text)
+            entities.append(sorted({f"{k}:{text[a:b]}" for k, a, b in own}))
+            held.append(text if own else None)
+        yield pa.RecordBatch.from_arrays([pa.array(entities, pa.list_(pa.string())), pa.array(held, pa.string())], names=["entities", "held"])
+
+
+def _pairs(bits: np.ndarray):
+    """(entities, held) -> (entity, term, docs): entities whose place is set, with the terms of their texts of the task."""
+    def told(counts: dict[tuple[str, str], int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([e for e, _ in counts], pa.string()), pa.array([t for _, t in counts], pa.string()), pa.array(counts.values(), pa.int64())],
+            names=["entity", "term", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for entities, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                place = (_term_hash([e.encode() for e in entities]) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                asked = [e for e, known in zip(entities, bits[place]) if known]
+                terms = free_terms(text) if asked else ()
+                for entity in asked:
+                    for term in terms:
+                        counts[entity, term] = counts.get((entity, term), 0) + 1
+                    if len(counts) > HELD_TERMS:
+                        yield told(counts)
+                        counts = {}
+        if counts:
+            yield told(counts)
+
+    return run
+
+
+def _find(names: list[str], bits: np.ndarray):
+    """Texts -> spans of their values, and terms whose place is set, where they do not overlap these."""
     kinds = pa.list_(pa.struct([("kind", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
-    terms = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
+    terms = pa.list_(pa.struct([("term", pa.string()), ("first", pa.int32()), ("last", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, entities, near = [], [], []
-            for value in batch.column(batch.schema.get_field_index("text")):
-                text = value.as_py() or ""
-                own = pattern_spans(text)
-                spans.append([{"kind": k, "first": a, "last": b} for k, a, b in own])
-                entities.append(sorted({f"{k}:{text[a:b]}" for k, a, b in own}))
-                near.append([{"entity": e, "term": t, "first": a, "last": b} for e, t, a, b in contexts(text, own)] if own else [])
+            own = [pattern_spans(value.as_py() or "") for value in batch.column(batch.schema.get_field_index("text"))]
+            near: list[list[dict]] = [[] for _ in own]
+            for low, _, data, offsets in slices(batch, "text"):
+                plain = _LOWER[data]
+                start, end, border = words(plain, offsets)
+                hit = np.flatnonzero(bits[(Prefix(plain).of(start, end) >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
+                if not len(hit):
+                    continue
+                text = np.searchsorted(border, hit, "right") - 1
+                chars = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                first = chars[start[hit]] - chars[offsets[text]]
+                last = chars[end[hit]] - chars[offsets[text]]
+                edge = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+                for i, j in zip(edge, np.append(edge[1:], len(hit))):
+                    free = _free(own[low + text[i]], first[i:j], last[i:j])
+                    near[low + text[i]] = [
+                        {"term": plain[start[h] : end[h]].tobytes().decode("utf-8", "replace"), "first": a, "last": b}
+                        for h, a, b in zip(hit[i:j][free], first[i:j][free].tolist(), last[i:j][free].tolist())
+                    ]
+            spans = [[{"kind": k, "first": a, "last": b} for k, a, b in found] for found in own]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(spans, kinds),
-                 pa.array(entities, pa.list_(pa.string())), pa.array(near, terms)],
-                names=[*names, "spans", "entities", "near"],
+                [*[batch.column(batch.schema.get_field_index(n)) for n in names], pa.array(spans, kinds), pa.array(near, terms)],
+                names=[*names, "spans", "near"],
             )
 
     return run
 
 
 def _term_hash(terms: list[bytes]) -> np.ndarray:
+    if not terms:
+        return np.zeros(0, np.uint64)
     data = np.frombuffer(b" ".join(terms), np.uint8)
     end = np.cumsum([len(t) + 1 for t in terms]) - 1
     return Prefix(data).of(end - np.array([len(t) for t in terms]), end)
@@ -169,22 +219,28 @@ def _count(bits: np.ndarray):
     return run
 
 
-def disclosing(found: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, share: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, told): terms that tell at least ``share`` of the entity's information."""
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = (
-        found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x.entity.alias("entity"), x.term.alias("term"))))).alias("p"))
-        .select("p.*").groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
-    )
-    pairs = checkpointed(pairs)
-    places = pairs.select("term").distinct().mapInArrow(_place, "place bigint")
-    packed = places.groupBy(F.shiftright("place", 6).alias("at")).agg(
+def _bit_map(terms: DataFrame) -> np.ndarray:
+    """The places of a column of terms in a map of 2**MAP_BITS."""
+    packed = terms.mapInArrow(_place, "place bigint").groupBy(F.shiftright("place", 6).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("set")
     ).collect()  # at most 2**(MAP_BITS - 6) rows
     map_ = np.zeros(1 << (MAP_BITS - 6), np.uint64)
     for row in packed:
         map_[row["at"]] = np.uint64(row["set"] & 0xFFFFFFFFFFFFFFFF)
-    bits = np.unpackbits(map_.view(np.uint8), bitorder="little").astype(bool)
+    return np.unpackbits(map_.view(np.uint8), bitorder="little").astype(bool)
+
+
+def disclosing(found: DataFrame, docs: DataFrame, n_docs: int, support: int = SUPPORT, share: float = DISCLOSURE) -> DataFrame:
+    """(entity, term, told): terms that tell at least ``share`` of the entity's information."""
+    entities = checkpointed(
+        found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+        .filter(F.col("n_entity") >= support)
+    )
+    pairs = checkpointed(
+        found.select("entities", "held").mapInArrow(_pairs(_bit_map(entities.select("entity"))), "entity string, term string, docs bigint")
+        .groupBy("entity", "term").agg(F.sum("docs").alias("n_both")).filter(F.col("n_both") >= support)
+    )
+    bits = _bit_map(pairs.select("term").distinct())
     counted = docs.select("text").mapInArrow(_count(bits), "term string, docs bigint").groupBy("term").agg(F.sum("docs").alias("n_term"))
     told = F.log2(F.col("n_both") * float(n_docs) / (F.col("n_term") * F.col("n_entity")))
     whole = F.log2(float(n_docs) / F.col("n_entity"))
@@ -206,19 +262,19 @@ def sanitised(docs: DataFrame, keep_text: bool = False, support: int = SUPPORT,
     """
     names = ["doc_id", "text"] if keep_text else ["doc_id"]
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.select(*names).dtypes)
-    found = docs.select("doc_id", "text").mapInArrow(_find(names), f"{schema}, {FOUND}")
-    found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
+    found = checkpointed(docs.select("text").mapInArrow(_entities, "entities array<string>, held string"))
     n_docs = found.count()
-    some = found.filter(F.size("spans") > 0)
-    terms = disclosing(some, docs, n_docs, support, share)
+    terms = checkpointed(disclosing(found.filter("held is not null"), docs, n_docs, support, share).select("term").distinct())
+    found = docs.select("doc_id", "text").mapInArrow(_find(names, _bit_map(terms)), f"{schema}, {SPANS}, {NEAR}")
+    found = checkpointed(found.withColumn("row", F.monotonically_increasing_id()))
     hits = (
-        some.select("row", F.explode("near").alias("n")).select("row", "n.*").join(terms, ["entity", "term"])
+        found.select("row", F.explode("near").alias("n")).select("row", "n.*").join(terms, "term")
         .groupBy("row").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "first", "last"))).alias("terms"))
     )
     joined = found.join(hits, "row", "left")
     spans = F.concat("spans", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:string,first:int,last:int>>)")))
     out = joined.select(*names, spans.alias("spans"))
-    return out.mapInArrow(_masked(), f"{schema}, {FOUND.split(', entities')[0]}") if keep_text else out
+    return out.mapInArrow(_masked(), f"{schema}, {SPANS}") if keep_text else out
 
 
 def _masked():
