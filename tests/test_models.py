@@ -47,6 +47,14 @@ def test_knn_refuses_an_unbounded_base(spark):
         knn.knn(base, base, "id", "id", "v", 1, max_base=1)
 
 
+def test_knn_takes_any_base_and_keeps_a_large_one_in_spark(spark, monkeypatch):
+    base = spark.range(2_000_001).select(F.col("id"), F.array(F.col("id").cast("double")).alias("v"))
+    queries = spark.createDataFrame([(7, [1_999_999.8])], "id bigint, v array<double>")
+    monkeypatch.setattr(type(base), "toPandas", lambda self: pytest.fail("base on the driver"))
+    rows = knn.knn(queries, base, "id", "id", "v", 2, block_bytes=4 << 20).orderBy("rank").collect()
+    assert [r.neighbour for r in rows] == [2_000_000, 1_999_999]
+
+
 def test_knn_moves_no_query_vector(spark, vectors):
     near = knn.knn(vectors, vectors, "vec_id", "vec_id", "embedding", 2)
     assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()

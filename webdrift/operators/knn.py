@@ -1,23 +1,21 @@
-"""Exact k-nearest-neighbour search of many query vectors among a bounded base.
+"""Exact k-nearest-neighbour search of many query vectors among a base of any size.
 
-The base (labelled rows) goes to the tasks in blocks of ``block_bytes``, the queries stay where
-they are: no query vector is shuffled or copied.  A base of one block gives the result in
-one pass over the queries; of more blocks each gives k rows per query, and only these are
-merged.  The cost per query is that of the base, whose size ``max_base`` bounds.
+A base (labelled rows) of up to ``block_bytes`` is sent to the tasks and the queries stay where they
+are: no query vector is shuffled or copied.  A larger base stays in Spark: base and queries
+are cut into blocks of about that size, every pair of blocks meets in a task and gives k rows per query,
+and only these are merged.  The cost per query is that of the base.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BASE = 2_000_000
 BLOCK_BYTES = 64 << 20
 _CHUNK = 256
 
@@ -58,18 +56,18 @@ def knn(
     vector: str,
     k: int,
     carry: str | None = None,
-    max_base: int = MAX_BASE,
+    max_base: int | None = None,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, neighbour, rank, distance[, carry]) of the k nearest base rows per query.
 
     Euclidean distance, ties by id.  ``carry`` is a base column to bring along (a label).  A base
-    of more than ``max_base`` rows is refused: it is a labelled sample, to be drawn beforehand.
+    of more than ``max_base`` rows, if given, is refused.
     """
     n_base = base.count()
     if n_base == 0:
         raise ValueError("no base rows")
-    if n_base > max_base:
+    if max_base is not None and n_base > max_base:
         raise ValueError(f"{n_base} base rows; at most {max_base}, draw a sample")
     carried = {c: dict(base.dtypes)[c] for c in [carry] if c}
     id_type, query_type = dict(base.dtypes)[base_id], dict(queries.dtypes)[query_id]
@@ -80,36 +78,45 @@ def knn(
     schema = f"q {query_type}, id {id_type}, rank int, distance double{extra}"
     asked = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
 
-    def search(block: pd.DataFrame) -> DataFrame:
-        sent = queries.sparkSession.sparkContext.broadcast(
-            (_matrix(block["v"]), block["id"].to_numpy(), {c: block[c].to_numpy() for c in carried})
-        )
+    def nearest(batch: pd.DataFrame, vectors: np.ndarray, ids: np.ndarray, values: dict[str, np.ndarray]) -> pd.DataFrame:
+        near, distance = _nearest(_matrix(batch["v"]), vectors, ids, k)
+        n = near.shape[1]
+        hit = near.ravel()
+        return pd.DataFrame({
+            "q": np.repeat(batch["q"].to_numpy(), n), "id": ids[hit], "rank": np.tile(np.arange(1, n + 1), len(batch)),
+            "distance": distance.ravel(), **{c: v[hit] for c, v in values.items()},
+        })
+
+    def parts(block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        return _matrix(block["v"]), block["id"].to_numpy(), {c: block[c].to_numpy() for c in carried}
+
+    if blocks <= 1:
+        sent = queries.sparkSession.sparkContext.broadcast(parts(plain.toPandas()))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            vectors, ids, values = sent.value
             for batch in batches:
                 if len(batch):
-                    near, distance = _nearest(_matrix(batch["v"]), vectors, ids, k)
-                    n = near.shape[1]
-                    hit = near.ravel()
-                    yield pd.DataFrame({
-                        "q": np.repeat(batch["q"].to_numpy(), n), "id": ids[hit], "rank": np.tile(np.arange(1, n + 1), len(batch)),
-                        "distance": distance.ravel(), **{c: v[hit] for c, v in values.items()},
-                    })
-
-        return asked.mapInPandas(run, schema)
-
-    parts = []
-    for number in range(blocks):
-        block = plain if blocks == 1 else plain.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number)
-        rows = block.toPandas()
-        if len(rows):
-            parts.append(search(rows))
-    found = parts[0]
-    if len(parts) > 1:
+                    yield nearest(batch, *sent.value)
+
+        found = asked.mapInPandas(run, schema)
+    else:
+        query_blocks = max(1, math.ceil(asked.count() * width * 8 / block_bytes))
+
+        def meet(batch: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+            if not len(batch) or not len(block):
+                return pd.DataFrame(columns=["q", "id", "rank", "distance", *carried])
+            return nearest(batch, *parts(block))
+
+        def block(of: str, count: int):
+            return F.pmod(F.xxhash64(of), F.lit(count))
+
+        pair = "_pair"
+        own, first = block("q", query_blocks), block("id", blocks) * query_blocks
+        left = asked.withColumn(pair, F.explode(F.sequence(own, own + (blocks - 1) * query_blocks, F.lit(query_blocks).cast("bigint"))))
+        right = plain.withColumn(pair, F.explode(F.sequence(first, first + (query_blocks - 1))))
+        met = left.groupBy(pair).cogroup(right.groupBy(pair)).applyInPandas(meet, schema)
         order = Window.partitionBy("q").orderBy("distance", "id")
-        merged = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order))
-        found = merged.where(F.col("rank") <= k)
+        found = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select(F.col("q").alias(query_id), F.col("id").alias("neighbour"), "rank", "distance", *carried)
 
 
