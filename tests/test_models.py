@@ -188,3 +188,12 @@ def test_buckets_without_rows_and_rows_without_bucket(spark, vectors):
     assert found.count() == rows.count()
     assert found.where("bucket = 'correct_high' and cluster is null").count() == 0
     assert found.where("bucket is null or bucket = 'other'").where("cluster is not null").count() == 0
+
+
+def test_word_vectors_are_trained_with_five_passes(spark):
+    docs = spark.createDataFrame([(f"word{i % 7} word{i % 3} other{i % 2} and more",) for i in range(60)], "text string")
+
+    def vectors(**options):
+        return {r.word: r.vector for r in bag_of_words.train_word_vectors(docs, size=4, partitions=1, **options).collect()}
+
+    assert vectors() == vectors(passes=5) != vectors(passes=1)
