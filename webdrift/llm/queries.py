@@ -6,6 +6,8 @@ import corpus_pipeline
 from webdrift.llm.decontamination import op10_decontamination
 from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.language_id import op6_language_id
+from webdrift.llm.lexical_search import ORACLE as LEXICAL_SEARCH_SQL
+from webdrift.llm.lexical_search import op13_lexical_search
 from webdrift.llm.mixing import op8_mixing
 from webdrift.llm.pii import op5_pii
 from webdrift.llm.quality_classifier import op3_quality_classifier
@@ -25,7 +27,8 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_pii": op5_pii,
+    "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_lexical_search": LEXICAL_SEARCH_SQL}
