@@ -76,6 +76,71 @@ def test_lexical_search_ties_and_repeats(spark):
     assert len({r.score for r in got}) == 1 and got[0].score > 0
 
 
-@pytest.mark.parametrize("name", ["op13_lexical_search"])
+@pytest.mark.parametrize("name", ["op12_packing", "op13_lexical_search"])
 def test_new_queries_on_empty_tables(spark, empty_folder, name):
     assert QUERIES[name](spark, empty_folder).count() == 0
+
+
+def packing_brute(texts, capacity=2048):
+    """[(doc_id, text)] -> sorted [(doc_id, piece, start, length, crc)] by the library directly."""
+    from webdrift.llm.packing import crc, cut, tokenizer
+
+    out = []
+    for doc, text in texts:
+        ids = tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
+        assert ids == tokenizer().encode_batch([text or ""], add_special_tokens=False)[0].ids + [0]
+        for k, (s, n) in enumerate(cut(ids, capacity)):
+            out.append((doc is None, doc or 0, k, s, n, crc(ids[s : s + n])))
+    return sorted(out)
+
+
+def check_packing(rows, texts, capacity=2048):
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows)
+    assert got == packing_brute(texts, capacity)
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for placed in by_seq.values():
+        placed.sort()
+        at = 0
+        for offset, length in placed:  # gapless from 0, nothing overlaps
+            assert offset == at
+            at += length
+        assert at <= capacity
+    total = sum(r.length for r in rows)
+    return len(by_seq), -(-total // capacity)
+
+
+def test_packing_against_brute_force(spark, odd_folder, folder):
+    for where in (odd_folder, folder):
+        texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{where}/documents.parquet").collect()]
+        rows = QUERIES["op12_packing"](spark, where).collect()
+        used, lower = check_packing(rows, texts)
+        assert used <= lower + 1 + lower // 50
+
+
+def test_packing_small_capacity_cuts_and_fills(spark):
+    from webdrift.llm import packing
+
+    texts = [(i, " ".join(["word"] * (i % 37)) + (" tail" if i % 5 else "")) for i in range(300)] + [(None, None), (7, "x"), (7, "x")]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), capacity=16).collect()
+    used, lower = check_packing(rows, texts, 16)
+    assert used <= lower + 2
+
+
+def test_packing_plan_keeps_every_piece():
+    import random
+    from collections import Counter
+
+    from webdrift.llm.packing import plan, plan_rows
+
+    rng = random.Random(3)
+    for _ in range(20):
+        counts = Counter(rng.choice([rng.randint(1, 2047), rng.randint(1, 200), 2048]) for _ in range(rng.randint(1, 3000)))
+        groups = plan(counts)
+        assert all(sum(p) <= 2048 for p, _ in groups)
+        assert Counter({x: sum(t * p.count(x) for p, t in groups) for x in counts}) == counts
+        rows = plan_rows(groups)
+        assert {r[0]: r[2] for r in rows} == {x: n for x, n in counts.items()} or all(max(r[2] for r in rows if r[0] == x) == n for x, n in counts.items())
+        total = sum(x * n for x, n in counts.items())
+        assert sum(t for _, t in groups) <= -(-total // 2048) + 1 + total // 100000

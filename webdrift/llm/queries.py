@@ -9,6 +9,7 @@ from webdrift.llm.language_id import op6_language_id
 from webdrift.llm.lexical_search import ORACLE as LEXICAL_SEARCH_SQL
 from webdrift.llm.lexical_search import op13_lexical_search
 from webdrift.llm.mixing import op8_mixing
+from webdrift.llm.packing import op12_packing
 from webdrift.llm.pii import op5_pii
 from webdrift.llm.quality_classifier import op3_quality_classifier
 from webdrift.llm.quality_rules import op4_quality_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_pii": op5_pii,
+    "op12_packing": op12_packing,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
