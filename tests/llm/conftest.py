@@ -36,8 +36,9 @@ def odd_rows():
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def _write(spark, folder, rows, items, labels):
+def _write(spark, folder, rows, items, labels, vectors=()):
     spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return str(folder)
@@ -48,7 +49,8 @@ def odd_folder(spark, odd_rows, tmp_path_factory):
     rows, item = odd_rows
     items = [(1, item), (2, "too short"), (3, None), (None, item), (5, "never seen words in any of the texts at all")]
     labels = [(0, 1, 0), (1, 1, 0), (85, 0, 0), (86, 0, None), (60, 1, 1), (None, 1, 0), (7, None, None), (0, 1, 0)]
-    return _write(spark, tmp_path_factory.mktemp("odd") / "t", rows, items, labels)
+    vectors = [(100, [0.1, 0.2], 1), (101, [0.1, 0.2], 1), (102, [0.1, 0.19], 2), (200, None, 1), (None, [0.3, 0.1], 2), (300, [1.0], 2)]
+    return _write(spark, tmp_path_factory.mktemp("odd") / "t", rows, items, labels, vectors)
 
 
 @pytest.fixture(scope="session")

@@ -76,7 +76,7 @@ def test_lexical_search_ties_and_repeats(spark):
     assert len({r.score for r in got}) == 1 and got[0].score > 0
 
 
-@pytest.mark.parametrize("name", ["op12_packing", "op13_lexical_search"])
+@pytest.mark.parametrize("name", ["op11_hard_negatives", "op12_packing", "op13_lexical_search"])
 def test_new_queries_on_empty_tables(spark, empty_folder, name):
     assert QUERIES[name](spark, empty_folder).count() == 0
 
@@ -144,3 +144,94 @@ def test_packing_plan_keeps_every_piece():
         assert {r[0]: r[2] for r in rows} == {x: n for x, n in counts.items()} or all(max(r[2] for r in rows if r[0] == x) == n for x, n in counts.items())
         total = sum(x * n for x, n in counts.items())
         assert sum(t for _, t in groups) <= -(-total // 2048) + 1 + total // 100000
+
+
+def negatives_brute(rows):
+    """[(vec_id, vector, label)] -> sorted result rows of op11 by the contract, plainly."""
+    clean = set()
+    for vid, vec, label in rows:
+        if label is None or vec is None or any(x is None or not math.isfinite(x) or abs(x) > 65536 for x in vec):
+            continue
+        if vid is not None and vid % 7 == 0:
+            label = int(math.fmod(label + 1, 10))
+        clean.add((vid, tuple(math.floor(float(x) * 256) for x in vec), label))
+
+    def dot(a, b):
+        return sum(x * y for x, y in zip(a + (0,) * (len(b) - len(a)), b + (0,) * (len(a) - len(b))))
+
+    def order(pairs):
+        return sorted(pairs, key=lambda p: (-p[0], p[1] is None, p[1] or 0))
+
+    out = []
+    for aid, avec, alabel in clean:
+        if aid is None or aid % 100 != 0:
+            continue
+        scored = [(dot(avec, v), vid, label) for vid, v, label in clean]
+        positives = order([(s, vid) for s, vid, label in scored if label == alabel and vid != aid])[:5]
+        for ps, pid in positives:
+            negatives = order([(s, vid) for s, vid, label in scored if label != alabel and 80 * ps <= 100 * s <= 100 * ps])[:5]
+            out += [(aid, pid, r, nid, ps, ns) for r, (ns, nid) in enumerate(negatives, 1)]
+    return sorted(out, key=str)
+
+
+def odd_embeddings(seed=5, n=900):
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)], rng.randint(0, 9)) for i in range(n)]
+    rows += [(i, [0.1] * 8, 3) for i in range(1000, 1040)]  # equal vectors, ties
+    rows += [(1100, [0.1] * 8, 3), (1100, [0.1] * 8, 3), (1200, [0.1] * 4, 3), (1300, [0.25] * 8, 4)]  # repeats, a short vector
+    rows += [(1400, None, 1), (1500, [0.1, None] + [0.0] * 6, 1), (1600, [float("nan")] * 8, 1), (1700, [float("inf")] * 8, 1),
+             (1800, [0.1] * 8, None), (None, [0.11] * 8, 4), (None, [0.3] * 8, 3), (2000, [1e6] * 8, 3), (2100, [], 2)]
+    return rows
+
+
+def test_hard_negatives_against_brute_force(spark, monkeypatch):
+    from webdrift.llm import hard_negatives
+
+    rows = odd_embeddings()
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    import numpy as np
+
+    rounded = [(v, None if e is None else [None if x is None else float(np.float32(x)) for x in e], lab) for v, e, lab in rows]
+    want = negatives_brute(rounded)
+    assert want
+    got = sorted(map(tuple, hard_negatives.mine(frame).collect()), key=str)
+    assert got == want
+    monkeypatch.setattr(hard_negatives, "LEAF", 2)  # deep trees, many blocks: the same rows
+    got = sorted(map(tuple, hard_negatives.mine(frame, block_rows=97, query_rows=3).collect()), key=str)
+    assert got == want
+
+
+def test_hard_negatives_on_the_given_table(spark, folder):
+    from webdrift.llm import hard_negatives
+
+    table = spark.read.parquet(f"{folder}/embeddings.parquet")
+    rows = [(r.vec_id, list(r.embedding) if r.embedding is not None else None, r.label) for r in table.collect()]
+    got = sorted(map(tuple, QUERIES["op11_hard_negatives"](spark, folder).collect()), key=str)
+    assert got == negatives_brute(rows)
+    assert hard_negatives.mine(table.limit(0)).count() == 0
+
+
+def test_cover_tree_keeps_its_radii():
+    import numpy as np
+
+    from webdrift.llm.hard_negatives import CoverTree
+
+    rng = np.random.default_rng(2)
+    vectors = np.vstack([rng.integers(-60, 60, (300, 6)), np.full((80, 6), 7)])
+    tree = CoverTree(vectors, np.arange(len(vectors)), np.zeros(len(vectors), bool))
+    for node, centre in enumerate(tree.center):  # every descendant lies within its node's radius
+        stack, inside = [node], []
+        while stack:
+            n = stack.pop()
+            stack += tree.children[n]
+            if tree.members[n] is not None:
+                inside += list(tree.members[n])
+        d = np.sqrt(((tree.points[inside] - tree.points[centre]) ** 2).sum(1))
+        assert d.max() <= tree.radius[node]
+    q = rng.integers(-60, 60, 6)
+    best = []
+    tree.search(q, -np.inf, np.inf, 7, None, best)
+    scores = vectors @ q
+    assert [-b[0] for b in best] == sorted(scores, reverse=True)[:7]

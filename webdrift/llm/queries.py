@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import corpus_pipeline
 from webdrift.llm.decontamination import op10_decontamination
+from webdrift.llm.hard_negatives import ORACLE as HARD_NEGATIVES_SQL
+from webdrift.llm.hard_negatives import op11_hard_negatives
 from webdrift.llm.jaccard_join import op2_jaccard_join
 from webdrift.llm.language_id import op6_language_id
 from webdrift.llm.lexical_search import ORACLE as LEXICAL_SEARCH_SQL
@@ -28,9 +30,10 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_pii": op5_pii,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_packing": op12_packing,
     "op13_lexical_search": op13_lexical_search,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {"op13_lexical_search": LEXICAL_SEARCH_SQL}
+ORACLES: dict[str, str] = {"op11_hard_negatives": HARD_NEGATIVES_SQL, "op13_lexical_search": LEXICAL_SEARCH_SQL}
