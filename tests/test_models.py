@@ -158,7 +158,8 @@ def test_encoder_is_an_argument(spark):
 def test_assembled_features_match_the_long_form(spark, folder):
     docs = derived.companies(spark, folder)
     features = bag_of_words.fit_features(docs, "doc_id", word_emb=False, min_df=10)
-    names = features.feature_names()
+    names = {r["index"]: r["name"] for r in features.feature_names().collect()}
+    assert sorted(names) == list(range(len(names)))
     long_form = {(r.doc_id, r.term): r.tfidf for r in terms.tfidf(docs, "doc_id", min_df=10).collect()}
     rows = features.transform(docs)
     assert isinstance(rows.schema["features"].dataType, VectorUDT)
@@ -170,9 +171,18 @@ def test_assembled_features_match_the_long_form(spark, folder):
     assert all(abs(got[k] - long_form[k]) < 1e-12 for k in got)
 
 
-def test_vocabulary_limit_is_not_silent(spark, folder):
-    with pytest.raises(ValueError, match="raise min_df"):
-        bag_of_words.fit_counts(derived.companies(spark, folder), min_df=2, limit=50)
+def test_vocabulary_is_numbered_in_spark_without_a_limit(spark, folder):
+    docs = derived.companies(spark, folder)
+    vocabulary = bag_of_words.fit_counts(docs, min_df=2)
+    rows = sorted((r["index"], r["term"]) for r in vocabulary.table.collect())
+    assert vocabulary.size == len(rows) > 50
+    assert [i for i, _ in rows] == list(range(len(rows))) and [t for _, t in rows] == sorted(t for _, t in rows)
+    from webdrift.operators import vocabulary as V
+
+    many = spark.range(100_000).select(F.format_string("w%06d", (F.col("id") * 7919) % 100_000).alias("term"))
+    numbered = V.number(many, ["term"], parts=13)
+    assert numbered.agg(F.min("index"), F.max("index"), F.countDistinct("index")).first() == (0, 99_999, 100_000)
+    assert numbered.where(F.col("index") != F.regexp_extract("term", "[0-9]+", 0).cast("bigint")).count() == 0
 
 
 def test_bag_of_words(spark, folder):

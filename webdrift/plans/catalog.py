@@ -585,15 +585,14 @@ def tfidf_sublinear(spark, folder):
 LABELLED_MIN_DF = 20
 
 
-def _sparse_rows(df: DataFrame, key: str, vector: str, names: list[str]) -> DataFrame:
-    """(key, name, value) of the entries of a sparse or dense vector that are not 0."""
+def _sparse_rows(df: DataFrame, key: str, vector: str, names: DataFrame) -> DataFrame:
+    """(key, name, value) of the entries of a sparse or dense vector that are not 0; ``names`` is (index, name)."""
     parts = df.select(key, F.unwrap_udt(vector).alias("p"))
     entries = F.when(F.col("p.type") == 0, F.arrays_zip("p.indices", "p.values")).otherwise(
         F.transform("p.values", lambda v, i: F.struct(i.alias("indices"), v.alias("values")))
     )
-    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, name string")
-    rows = parts.select(key, F.explode(entries).alias("e")).select(key, F.col("e.indices").alias("i"), F.col("e.values").alias("value"))
-    return rows.where("value <> 0").join(listed, "i").select(key, "name", "value")
+    rows = parts.select(key, F.explode(entries).alias("e")).select(key, F.col("e.indices").cast("bigint").alias("index"), F.col("e.values").alias("value"))
+    return rows.where("value <> 0").join(names, "index").select(key, "name", "value")
 
 
 @query
@@ -601,9 +600,11 @@ def count_vectorize(spark, folder):
     """Counts of the training vocabulary in all labelled texts."""
     rows = derived.companies(spark, folder)
     train, _ = sampling.split(rows, "doc_id")
-    model, _ = bag_of_words.fit_counts(train, min_df=LABELLED_MIN_DF)
-    counted = model.transform(bag_of_words.count_words(rows))
-    result = _sparse_rows(counted, "doc_id", "_counts", model.vocabulary)
+    vocabulary = bag_of_words.fit_counts(train, min_df=LABELLED_MIN_DF)
+    counted = bag_of_words.vocabulary.vectors(
+        rows, "doc_id", bag_of_words.vocabulary.known_counts(rows, "doc_id", vocabulary), "n", vocabulary.size, "_counts")
+    names = vocabulary.table.select("index", F.col("term").alias("name"))
+    result = _sparse_rows(counted, "doc_id", "_counts", names)
     return result.select("doc_id", F.col("name").alias("term"), F.col("value").cast("bigint").alias("n"))
 
 
@@ -624,8 +625,7 @@ def assemble_features(spark, folder):
 @query
 def feature_names(spark, folder):
     _, features = _plain_features(spark, folder)
-    names = [(name,) for name in features.feature_names()]
-    return spark.createDataFrame(names, "name string")
+    return features.feature_names().select("name")
 
 
 @query
