@@ -207,3 +207,28 @@ def test_word_vectors_are_trained_with_five_passes(spark):
         return {r.word: r.vector for r in bag_of_words.train_word_vectors(docs, size=4, partitions=1, **options).collect()}
 
     assert vectors() == vectors(passes=5) != vectors(passes=1)
+
+
+def test_knn_bounds_measure_few_pairs_and_stay_exact():
+    rng = np.random.default_rng(8)
+    base = np.vstack([rng.normal(size=(3000, 24)) * np.linspace(3, 0.01, 24), np.ones((5000, 24))])
+    ids = rng.permutation(len(base))
+    queries = np.vstack([rng.normal(size=(300, 24)) * np.linspace(3, 0.01, 24), np.ones((3, 24))])
+    prepared = knn.prepare(base, ids, {}, 3)
+    assert len(prepared["ids"]) == 3003 and prepared["axes"].shape[1] < 24  # equal rows cut to k; a steep spectrum needs fewer axes
+    stats = {}
+    near, distance = knn._nearest(queries, prepared, 3, stats)
+    full = np.sqrt(((queries[:, None, :] - base[None]) ** 2).sum(2))
+    want = np.lexsort((np.broadcast_to(ids, full.shape), full), axis=1)[:, :3]
+    assert np.array_equal(prepared["ids"][near], ids[want])
+    assert stats["measured"] < 0.1 * stats["pairs"]
+
+
+def test_knn_with_131072_equal_rows_stays_small():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    base = np.full((131072, 64), 0.25)
+    near, _ = knn._nearest(base[:4096], knn.prepare(base, np.arange(131072)[::-1].copy(), {}, 2), 2)
+    assert near.shape == (4096, 2)
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 1 << 20  # KB: under 1 GB more
