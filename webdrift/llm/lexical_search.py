@@ -9,9 +9,9 @@ for a document sums ``w * ((10**9 * tf) div (1000 * tf + 8 * m))`` over the item
 included; the ``top`` documents with the highest positive scores are kept per item, equal scores
 by ascending doc_id (null last).
 
-Plan.  Terms are cut and counted by Spark per document row (the words of a text are in one row,
-so the partial aggregate leaves one row per distinct (document, item term) before any shuffle),
-and only terms that some item holds go on.  N, L and df are counted over all documents.  Items are
+Plan.  Each text is cut and its terms counted once, inside its row (Arrow batches; the words of
+a text are in one row, so nothing is shuffled for it), and the table is written to the shared
+folder; only terms that some item holds go on from there.  N, L and df are counted over all documents.  Items are
 dealt into blocks of ``item_block`` rows and documents into blocks of ``doc_block`` rows; each
 pair of blocks meets in one group, where the items' terms form a compact vocabulary, the
 vocabulary is cut into tiles so that no partial sum of a tile can reach 2**53, and float64 tiles
@@ -28,13 +28,18 @@ Long texts are read whole.  Empty tables give no rows.  Other columns of the inp
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webdrift.llm.common import checkpointed, documents
+from webdrift.operators.vocabulary import number
 
 # fixed values of the contract
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -43,7 +48,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 TOP = 10
 
 ITEM_BLOCK = 512  # items that one group scores together
-DOC_BLOCK = 16384  # documents of one group
+DOC_BLOCK = 4096  # documents of one group
 DOC_TILE = 2048  # documents of one dense product
 COL_TILE = 4096  # vocabulary columns of one dense product, at most
 EXACT = float(1 << 53)
@@ -57,6 +62,26 @@ def terms_of(text) -> F.Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
+PER_DOC = "row_key long, doc_id long, n long, terms array<string>, tfs array<long>"
+
+
+def _counted(batches):
+    """Per document row: n, and its distinct terms with their counts (one pass over the text)."""
+    pattern, lower = re.compile(TERM), str.maketrans(UPPER, LOWER)
+    for batch in batches:
+        ns, terms, tfs = [], [], []
+        for text in batch.column("text").to_pylist():
+            found = pattern.findall(text.translate(lower)) if text else []
+            counts = Counter(found)
+            ns.append(len(found))
+            terms.append(list(counts))
+            tfs.append(list(counts.values()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row_key"), batch.column("doc_id").cast(pa.int64()), pa.array(ns, pa.int64()),
+             pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))],
+            names=["row_key", "doc_id", "n", "terms", "tfs"])
+
+
 def _by_term(big: DataFrame, small: DataFrame, size: int, how: str = "inner") -> DataFrame:
     """Join on term; the vocabulary side is broadcast only below VOCAB_BROADCAST terms."""
     return big.join(F.broadcast(small) if size <= VOCAB_BROADCAST else small, "term", how)
@@ -153,8 +178,9 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFra
     ``docs``: doc_id, text; ``items``: item_id, text.  Whole texts, all documents; see the module.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text").withColumn("row_key", F.monotonically_increasing_id())
-    per_doc = rows.select("row_key", "doc_id", terms_of(F.col("text")).alias("terms")).withColumn("n", F.size("terms"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    # the texts are read and cut once; N, L, df and the impacts all come from this table
+    per_doc = checkpointed(rows.mapInArrow(_counted, PER_DOC))
     counts = per_doc.agg(F.count_if(F.col("n") > 0).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L")).first()
     big_n, big_l = int(counts["N"]), int(counts["L"])
 
@@ -169,13 +195,17 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFra
         .select("item_block", "item_key", F.explode(terms_of(F.col("text"))).alias("term"))
         .groupBy("item_block", "item_key", "term").agg(F.count("*").alias("q"))
     )
-    vocab_blocks = item_terms.select("term", "item_block").distinct()
-    vocab = vocab_blocks.select("term").distinct()
+    # item terms numbered in Spark; groups then carry integers, not strings
+    vocab = number(item_terms.select("term").distinct(), ["term"], out="term_id")
     n_vocab = vocab.count()
-
-    # distinct (document, item term) with tf: the partial aggregate works inside each task
-    occurrences = _by_term(per_doc.select("row_key", "doc_id", "n", F.explode("terms").alias("term")), vocab, n_vocab, "left_semi")
-    tf = occurrences.groupBy("row_key", "doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    item_terms = _by_term(item_terms, vocab, n_vocab).drop("term").withColumnRenamed("term_id", "term")
+    # new attributes (not those of item_terms), so that both sides of the cogroup stay apart
+    vocab_blocks = item_terms.select((F.col("term") + 0).alias("term"), (F.col("item_block") + 0).alias("item_block")).distinct()
+
+    # distinct (document, item term) with tf, counted inside the row
+    pairs = per_doc.select("row_key", "doc_id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("e"))
+    tf = _by_term(pairs.select("row_key", "doc_id", "n", F.col("e.terms").alias("term"), F.col("e.tfs").alias("tf")), vocab, n_vocab)
+    tf = tf.drop("term").withColumnRenamed("term_id", "term")
     weights = tf.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", F.floor(F.lit(1000.0) * F.log((2.0 * big_n + 2.0) / (F.col("df") * 2.0 + 1.0))).cast("bigint").alias("w")
     )
@@ -183,12 +213,12 @@ def lexical_search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFra
     part = F.expr("(1000000000L * tf) div (1000L * tf + 8L * m)")
     doc_blocks = max(1, -(-big_n // DOC_BLOCK))
     impacts = (
-        _by_term(tf, weights, n_vocab).withColumn("m", m)
+        tf.join(F.broadcast(weights) if n_vocab <= VOCAB_BROADCAST else weights, "term").withColumn("m", m)
         .select("row_key", F.coalesce("doc_id", F.lit(0)).alias("doc_key"), F.col("doc_id").isNull().alias("doc_null"),
                 "term", (F.col("w") * part).alias("impact"),
                 F.pmod(F.xxhash64("row_key"), F.lit(doc_blocks)).alias("doc_block"))
     )
-    routed = _by_term(impacts, vocab_blocks, n_vocab)
+    routed = impacts.join(F.broadcast(vocab_blocks) if n_vocab <= VOCAB_BROADCAST else vocab_blocks, "term")
     # the stated query set goes to every document block
     fanned = item_terms.withColumn("doc_block", F.explode(F.sequence(F.lit(0), F.lit(doc_blocks - 1)).cast("array<bigint>")))
 
