@@ -232,3 +232,22 @@ def test_knn_with_131072_equal_rows_stays_small():
     near, _ = knn._nearest(base[:4096], knn.prepare(base, np.arange(131072)[::-1].copy(), {}, 2), 2)
     assert near.shape == (4096, 2)
     assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) < 1 << 20  # KB: under 1 GB more
+
+
+@pytest.mark.parametrize("values", [
+    [3.0, -1.0, 2.5, 2.5, 7.0, -0.0, 0.0, 1e-310, -1e-310, 5e-324, 1e308, -1e308, float("inf"), float("-inf")],
+    [0.1 * i for i in range(1001)] + [0.1] * 4000,
+    [-2.0, -2.0], [42.0], [1.0, float("nan"), 2.0, 3.0],
+])
+def test_median_by_radix_selection(spark, values):
+    from webdrift.operators import statistics
+
+    frame = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    keys = [r.k for r in frame.where("v is not null").select("v", statistics.order_key(F.col("v")).alias("k")).orderBy("k").collect()]
+    assert keys == sorted(keys)
+    ordered = sorted(values, key=lambda v: (v != v, v))
+    n = len(ordered)
+    want = (ordered[(n + 1) // 2 - 1] + ordered[(n + 2) // 2 - 1]) / 2
+    got = statistics.median(frame, "v").first()[0]
+    assert got == want or (got != got and want != want)
+    assert statistics.median(frame.limit(0), "v").first()[0] is None

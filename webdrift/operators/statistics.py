@@ -4,16 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webdrift import constants as C
 
-# ``median``: one over the rank error of its percentiles, and percentiles inside the band
-_ACCURACY = 2_000
-_STEPS = 500
-
-
 def histogram(
     df: DataFrame,
     value: str,
@@ -42,79 +37,73 @@ def histogram(
     return rows.groupBy(*by, F.least(position, F.lit(bins - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
-    """Exact median of a column in one row, for any number of rows.
-
-    ``percentile`` would gather all distinct values in one task.  Here three passes
-    narrow the search, each with small mergeable partial results:
-
-    1. approximate percentiles with a known rank error give a band around the median,
-       about 3 rows in 1,000;
-    2. the ranks outside the band are counted and percentiles inside it taken, which
-       gives a band of about 1 row in 50,000;
-    3. equal values inside that band are counted, all others as two numbers, below and
-       above, and these few counts are ranked exactly.
-
-    If a band should miss the median the query fails rather than return a wrong value.
-    """
-    x = F.col("x")
-    # read by all passes; the column may be costly to compute
-    values = df.select(F.col(value).cast("double").alias("x")).where(x.isNotNull()).persist()
-    margin = 2.0 / _ACCURACY
-    ends = F.approx_percentile("x", [0.5 - margin, 0.5 + margin], _ACCURACY)
-    wide = values.agg(ends.alias("e")).select(F.struct(F.col("e")[0].alias("lo"), F.col("e")[1].alias("hi")))
-
-    in_wide = x.between(F.col("wide.lo"), F.col("wide.hi"))
-    steps = [i / _STEPS for i in range(_STEPS + 1)]
-    counts = values.withColumn("wide", wide.scalar()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(x < F.col("wide.lo")).alias("below"),
-        F.count_if(in_wide).alias("inside"),
-        F.approx_percentile(F.when(in_wide, x), steps, _ACCURACY).alias("e"),
+def order_key(x: Column) -> Column:
+    """A 64-bit integer in the order of the doubles: the sign and magnitude bits of x, negatives
+    reflected; -0.0 and 0.0 share 0, NaN is last.  Built from exact steps (powers of two)."""
+    a = F.abs(x)
+    guess = F.floor(F.log2(a))
+    e = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
+    normal = (e + 1023).cast("bigint") * F.lit(1 << 52) + ((a / F.pow(F.lit(2.0), e) - 1.0) * float(1 << 52)).cast("bigint")
+    tiny = (a * float(2.0 ** 537) * float(2.0 ** 537)).cast("bigint")  # subnormal: the bits are a / 2**-1074
+    bits = (
+        F.when(F.isnan(x), F.lit((1 << 63) - 1)).when(a == 0.0, F.lit(0)).when(a == float("inf"), F.lit(2047 << 52))
+        .when(a < float(2.0 ** -1022), tiny).otherwise(normal)
     )
+    return F.when(F.isnan(x) | (x >= 0), bits).otherwise(-bits - 1)
 
-    def step_of(rank: Column) -> Column:
-        return (rank - F.col("below")) / F.col("inside") * _STEPS
 
-    # one step for the rank error, one for rounding
-    first = F.greatest(F.floor(step_of(_lower_rank(F.col("n")))) - 2, F.lit(0)).cast("int")
-    last = F.least(F.ceil(step_of(_upper_rank(F.col("n")))) + 2, F.lit(_STEPS)).cast("int")
-    narrow = counts.select(F.struct(F.get("e", first).alias("lo"), F.get("e", last).alias("hi")))
+_DIGIT = 16
 
-    marked = values.withColumn("band", narrow.scalar())
-    region = F.when(x < F.col("band.lo"), -1).when(x > F.col("band.hi"), 1).otherwise(0)
-    placed = marked.select(region.alias("region"), F.when(region == 0, x).alias("x"))
-    counted = placed.groupBy("region", "x").agg(F.count(F.lit(1)).alias("c"))
-
-    order = Window.orderBy("region", "x")
-    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(every))
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("upto") >= rank, F.struct("region", "x")))
-
-    found = ranked.agg(at(_lower_rank(F.col("n"))).alias("a"), at(_upper_rank(F.col("n"))).alias("b"))
-    inside = F.col("a").isNull() | ((F.col("a.region") == 0) & (F.col("b.region") == 0))
-    checked = found.where(F.assert_true(inside, F.lit("median lies outside the approximate band")).isNull())
-    return checked.select(((F.col("a.x") + F.col("b.x")) / 2).alias(out))
-
-
-def _lower_rank(n: Column) -> Column:
-    return F.floor((n + 1) / 2)
 
+def median(df: DataFrame, value: str, out: str = "median") -> DataFrame:
+    """Exact median of a column in one row, for any number of rows (null if there are none).
 
-def _upper_rank(n: Column) -> Column:
-    return F.floor((n + 2) / 2)
+    Radix selection: each double gets an order-preserving 64-bit key, and four counting passes
+    find its 16-bit digits from the top, each over the rows whose higher digits are already
+    known, with at most 65,536 counts per rank sought.  Nothing is ranked in one task and no
+    step can miss; the two middle values are averaged as ``quantile_cont`` does.
+    """
+    spark = df.sparkSession
+    x = F.col("x")
+    keyed = df.select(F.col(value).cast("double").alias("x")).where(x.isNotNull()).select("x", order_key(x).alias("k"))
+    keyed = keyed.select("x", "k", F.col("k").bitwiseXOR(F.lit(-(1 << 63))).alias("u")).persist()
+    try:
+        n = keyed.count()
+        if n == 0:
+            return spark.range(1).select(F.lit(None).cast("double").alias(out))
+        wanted = {(n + 1) // 2: [0, (n + 1) // 2], (n + 2) // 2: [0, (n + 2) // 2]}  # rank -> [prefix, rank left]
+        for step in range(64 // _DIGIT):
+            shift = 64 - _DIGIT * step
+            prefix = F.shiftrightunsigned("u", shift) if step else F.lit(0).cast("bigint")
+            digit = F.shiftrightunsigned("u", shift - _DIGIT).bitwiseAND(F.lit((1 << _DIGIT) - 1))
+            prefixes = sorted({p for p, _ in wanted.values()})
+            counts = keyed.where(prefix.isin(prefixes)).groupBy(prefix.alias("p"), digit.alias("d")).agg(F.count("*").alias("c"))
+            table: dict[int, list[tuple[int, int]]] = {}
+            for r in counts.collect():
+                table.setdefault(r["p"], []).append((r["d"], r["c"]))
+            for state in wanted.values():
+                left = state[1]
+                for d, c in sorted(table[state[0]]):
+                    if left <= c:
+                        state[0], state[1] = (state[0] << _DIGIT) | d, left
+                        break
+                    left -= c
+        keys = [p - (1 << 64) if p >= 1 << 63 else p for p in (wanted[(n + 1) // 2][0], wanted[(n + 2) // 2][0])]
+        found = {r["u"]: r["x"] for r in keyed.where(F.col("u").isin(keys)).groupBy("u").agg(F.min("x").alias("x")).collect()}
+        middle = [found[k] for k in keys]
+    finally:
+        keyed.unpersist()
+    return spark.range(1).select(F.lit((middle[0] + middle[1]) / 2).cast("double").alias(out))
 
 
 def summary(df: DataFrame, value: str) -> DataFrame:
     """Count, least, greatest, mean and exact median of a column in one row."""
-    df = df.select(F.col(value).cast("double").alias(value)).persist()
+    df = df.select(F.col(value).cast("double").alias(value))
     x = F.col(value)
     stats = df.agg(
         F.count(x).alias("n"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean")
     )
-    return stats.withColumn("median", median(df, value).scalar())
+    return stats.withColumn("median", F.lit(median(df, value).first()[0]).cast("double"))
 
 
 def conditional_max(df: DataFrame, value: str, condition: Column, out: str) -> DataFrame:
