@@ -200,13 +200,35 @@ def test_buckets_without_rows_and_rows_without_bucket(spark, vectors):
     assert found.where("bucket is null or bucket = 'other'").where("cluster is not null").count() == 0
 
 
-def test_word_vectors_are_trained_with_five_passes(spark):
-    docs = spark.createDataFrame([(f"word{i % 7} word{i % 3} other{i % 2} and more",) for i in range(60)], "text string")
-
-    def vectors(**options):
-        return {r.word: r.vector for r in bag_of_words.train_word_vectors(docs, size=4, partitions=1, **options).collect()}
-
-    assert vectors() == vectors(passes=5) != vectors(passes=1)
+def test_word_vectors_equal_the_leading_eigenvectors_of_ppmi(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(words[(d % 3) * 20:(d % 3) * 20 + 25]) for _ in range(rng.randint(5, 60))) for d in range(400)]
+    texts += [f"p{k} q{k} " * (5 + 3 * k) for k in range(12)] + [None, ""]  # pairs far above chance, each its own strength
+    got = {r.word: np.array(r.vector) for r in bag_of_words.train_word_vectors(
+        spark.createDataFrame([(t,) for t in texts], "text string"), size=6, power=8).collect()}
+    count = Counter(w for t in texts if t for w in t.split())
+    known = sorted(w for w, c in count.items() if c >= 5)
+    assert sorted(got) == known and {len(v) for v in got.values()} == {6}
+    at = {w: i for i, w in enumerate(known)}
+    n = np.zeros((len(known), len(known)))
+    for t in texts:
+        tokens = (t or "").split()
+        for a in range(len(tokens)):
+            for b in range(max(0, a - 5), min(len(tokens), a + 6)):
+                if a != b:
+                    n[at[tokens[a]], at[tokens[b]]] += 1
+    m = n.sum(1)
+    with np.errstate(divide="ignore"):
+        ppmi = np.where(n > 0, np.maximum(np.log(np.where(n > 0, n, 1) * n.sum() / np.outer(m, m)) - np.log(5), 0), 0)
+    values, vectors = np.linalg.eigh(ppmi)
+    top = np.argsort(-values)[:6]
+    exact = vectors[:, top] * np.sqrt(np.maximum(values[top], 0))
+    ours = np.stack([got[w] for w in known])
+    assert np.abs(exact @ exact.T).max() > 1 and np.abs(ours @ ours.T - exact @ exact.T).max() < 1e-6 * np.abs(exact @ exact.T).max()
 
 
 def test_knn_bounds_measure_few_pairs_and_stay_exact():

@@ -13,7 +13,7 @@ from webdrift.functions import text as X
 from webdrift.functions import vectors as V
 from webdrift.operators import (
     bag_of_words, classifiers, clusters, decisions, encode, knn, metrics, pages, qda, relational,
-    sampling, sentences, similarity, statistics, terms,
+    sampling, sentences, similarity, statistics, terms, word_vectors,
 )
 from webdrift.plans import derived, studies
 from webdrift.sources import files
@@ -666,6 +666,13 @@ def word2vec_vectors(spark, folder):
     return vectors.select("word", F.size("vector").alias("n_values"))
 
 
+@query
+def word_cooccurrence(spark, folder):
+    """Pairs of words in at least five places, at most five tokens apart, both orders, counted."""
+    pairs, _ = word_vectors.cooccurrence(texts(spark, folder, "documents", "doc_id"))
+    return pairs
+
+
 # --- models ---------------------------------------------------------------------------
 
 

@@ -437,6 +437,11 @@ FROM documents d CROSS JOIN (SELECT unnest(range(8)) AS pos) p LEFT JOIN m ON m.
 ORACLES["embed_texts"] = f"""SELECT doc_id, 768 AS n_values,
 CASE WHEN len({word_list(1)}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM ({COMPANIES})"""
 ORACLES["word2vec_vectors"] = f"SELECT word, 200 AS n_values FROM ({_WORDS}) GROUP BY word HAVING count(*) >= 5"
+ORACLES["word_cooccurrence"] = f"""WITH t AS (SELECT row_number() OVER () AS r, {SPACE_TOKENS} AS tokens FROM documents),
+p AS (SELECT r, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM t),
+k AS (SELECT * FROM p WHERE w IN (SELECT w FROM p GROUP BY w HAVING count(*) >= 5))
+SELECT a.w AS word, b.w AS context, count(*) AS n FROM k a JOIN k b ON a.r = b.r AND b.i <> a.i AND b.i BETWEEN a.i - 5 AND a.i + 5
+GROUP BY a.w, b.w"""
 ORACLES["split_train_test"] = f"SELECT doc_id, {is_test('doc_id')} AS is_test FROM documents"
 ORACLES["sample_n"] = _SAMPLE.format(n=120)
 
