@@ -34,7 +34,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,6 +43,7 @@ from webdrift.llm.common import checkpointed, documents
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
+CHUNK_CHARS = 1 << 20  # characters of text encoded at once
 RANK_ROWS = 1024  # pieces of one length numbered in one window group, about
 PLAN_LIMIT = 1 << 20  # rows of the plan that may be broadcast; above it the plan is joined by a shuffle
 
@@ -54,6 +55,9 @@ _tokenizers: dict = {}
 def tokenizer(name: str = TOKENIZER):
     """The library's tokenizer for ``name`` under ``public_tokenizers``, one per worker process."""
     if name not in _tokenizers:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread per task: Spark deals the cores
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -61,9 +65,8 @@ def tokenizer(name: str = TOKENIZER):
     return _tokenizers[name]
 
 
-def cut(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of one document's ids (ids already end in 0)."""
-    n = len(ids)
+def spans(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of a document of n ids: the remainder first, then full pieces."""
     if n <= capacity:
         return [(0, n)]
     first = n % capacity
@@ -71,35 +74,50 @@ def cut(ids: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 and first else capacity)) for s in starts]
 
 
+def cut(ids, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of one document's ids (ids already end in 0)."""
+    return spans(len(ids), capacity)
+
+
 def crc(ids) -> int:
     """CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
 
 
 def _pieces(batches, capacity: int, name: str):
+    """Arrow batches of documents -> batches of pieces; texts are encoded in chunks of about
+    CHUNK_CHARS characters (a longer text alone), and only their ids are kept."""
     encode = tokenizer(name)
-    for pdf in batches:
-        texts = pdf["text"].fillna("").tolist()
-        out = defaultdict(list)
-        for key, doc, encoding in zip(pdf["row_key"], pdf["doc_id"], encode.encode_batch(texts, add_special_tokens=False)):
-            ids = list(encoding.ids) + [0]
-            for k, (s, n) in enumerate(cut(ids, capacity)):
-                out["row_key"].append(key)
-                out["doc_id"].append(doc)
-                out["piece"].append(k)
-                out["start"].append(s)
-                out["length"].append(n)
-                out["ids_crc32"].append(crc(ids[s : s + n]))
-        frame = pd.DataFrame(out, columns=["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        frame["piece"] = frame["piece"].astype("int32")
-        yield frame
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end] or "") <= CHUNK_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            at, piece, begin, length, crcs = [], [], [], [], []
+            # the same ids as encode_batch, without offsets
+            for j, encoding in enumerate(encode.encode_batch_fast([t or "" for t in texts[start:end]], add_special_tokens=False), start):
+                ids = np.append(np.asarray(encoding.ids, dtype="<u4"), np.uint32(0))
+                for k, (s, n) in enumerate(spans(len(ids), capacity)):
+                    at.append(j)
+                    piece.append(k)
+                    begin.append(s)
+                    length.append(n)
+                    crcs.append(zlib.crc32(ids[s : s + n].tobytes()))
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_key").take(taken), batch.column("doc_id").take(taken), pa.array(piece, pa.int32()),
+                 pa.array(begin, pa.int64()), pa.array(length, pa.int64()), pa.array(crcs, pa.int64())],
+                names=["row_key", "doc_id", "piece", "start", "length", "ids_crc32"])
+            start = end
 
 
 def tokenized(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
     """One row per piece: row_key, doc_id, piece, start, length, ids_crc32; written once and read again."""
-    rows = docs.select("doc_id", "text").withColumn("row_key", F.monotonically_increasing_id())
-    return checkpointed(rows.mapInPandas(lambda b: _pieces(b, capacity, name), PIECES))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_key"))
+    return checkpointed(rows.mapInArrow(lambda b: _pieces(b, capacity, name), PIECES))
 
 
 # ---- the plan, on counts of lengths only -------------------------------------------------------
