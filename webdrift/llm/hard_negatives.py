@@ -16,9 +16,9 @@ of blocks meets in one group (the stated query set against all rows, in blocks).
 candidates of each label form a cover tree: vectors are augmented by ``sqrt(M**2 - |x|**2)`` so
 that all have the norm M, each level halves the covering radius, and a node keeps the largest
 distance of its descendants to its centre.  For a query q a node's scores lie within
-``q.c +- |q| r``; a best-first descent by that upper bound skips nodes whose interval misses the
-window, stops when ``k`` rows are found that no open node can beat, and verifies leaves by exact
-integer products.  One window with a rank limit merges the blocks, first for positives, then for
+``q.c +- |q| r``; a level-wise descent bounds each level's children at once and skips nodes whose
+interval misses the window, then the leaves left are verified best-first by their upper bound, by
+exact integer products, until ``k`` rows are found that no further leaf can beat.  One window with a rank limit merges the blocks, first for positives, then for
 negatives.
 
 Edge cases: empty tables and tables without anchors give no rows; an anchor without positives, or
@@ -99,46 +99,81 @@ class CoverTree:
                 self.children[node].append(self._build(part, centre, half))
         return node
 
-    def search(self, query: np.ndarray, low: float, high: float, k: int, exclude: int | None, best: list) -> None:
-        """Adds to ``best`` (a list of (-score, null, id)) the top k rows whose score is in [low, high]."""
-        if not self.center:
-            return
-        q = query.astype(np.float64)
-        qn = float(np.sqrt(q @ q))
+    def _flatten(self) -> None:
+        """Nodes as arrays: centres' vectors, radii, children in CSR form, leaf members contiguous."""
         wide = self.points.shape[1] - 1
-
-        def bounds(node):
-            s = float(self.points[self.center[node], :wide] @ q)
-            slack = qn * self.radius[node] + 1e-9 * (abs(s) + qn * self.radius[node]) + 1.0
+        self.centres = self.points[self.center, :wide]
+        self.radii = np.asarray(self.radius)
+        self.child_ptr = np.cumsum([0] + [len(c) for c in self.children])
+        self.child_idx = np.asarray([c for cs in self.children for c in cs], dtype=np.int64)
+        members = [m if m is not None else np.zeros(0, dtype=np.int64) for m in self.members]
+        self.leaf = np.asarray([m is not None for m in self.members])
+        self.member_ptr = np.cumsum([0] + [len(m) for m in members])
+        self.member_idx = np.concatenate(members) if members else np.zeros(0, dtype=np.int64)
+
+    def leaves(self, q: np.ndarray, qn: float, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, upper bounds) whose score interval meets [low, high]: a level-wise descent in which
+        each level's children are bounded at once by their centre's score and covering radius."""
+        if not self.center:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        if not hasattr(self, "radii"):
+            self._flatten()
+
+        def bounds(nodes):
+            s = self.centres[nodes] @ q
+            slack = qn * self.radii[nodes]
+            slack = slack + 1e-9 * (np.abs(s) + slack) + 1.0
             return s - slack, s + slack
 
-        def worst():
-            return -max(best)[0] if len(best) >= k else None
-
-        lo, hi = bounds(0)
-        heap = [(-min(hi, high), 0)] if hi >= low and lo <= high else []
-        while heap:
-            top, node = heapq.heappop(heap)
-            cut = worst()
-            if cut is not None and cut > -top:
+        found, uppers, level = [], [], np.zeros(1, dtype=np.int64)
+        while len(level):
+            lo, hi = bounds(level)
+            level, hi = level[(hi >= low) & (lo <= high)], hi[(hi >= low) & (lo <= high)]
+            ends = self.leaf[level]
+            found.append(level[ends])
+            uppers.append(np.minimum(hi[ends], high))
+            inner = level[~ends]
+            if not len(inner):
                 break
-            members = self.members[node]
-            if members is not None:
-                scores = self.vectors[members] @ query
-                keep = (scores >= low) & (scores <= high)
-                if exclude is not None:
-                    keep &= self.nulls[members] | (self.ids[members] != exclude)
-                for i in np.flatnonzero(keep):
-                    m = members[i]
-                    best.append((-int(scores[i]), bool(self.nulls[m]), int(self.ids[m])))
-                best.sort()
-                del best[k:]
-                continue
-            for child in self.children[node]:
-                lo, hi = bounds(child)
-                if hi < low or lo > high:
-                    continue
-                heapq.heappush(heap, (-min(hi, high), child))
+            starts, stops = self.child_ptr[inner], self.child_ptr[inner + 1]
+            level = self.child_idx[np.concatenate([np.arange(a, b) for a, b in zip(starts, stops)])]
+        return np.concatenate(found), np.concatenate(uppers)
+
+    def members_of(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.member_idx[self.member_ptr[n]:self.member_ptr[n + 1]] for n in leaves])
+
+    def search(self, query: np.ndarray, low: float, high: float, k: int, exclude: int | None, best: list) -> None:
+        """Adds to ``best`` (a list of (-score, null, id)) the top k rows whose score is in [low, high]."""
+        search([self], query, low, high, k, exclude, best)
+
+
+def search(trees: list, query: np.ndarray, low: float, high: float, k: int, exclude: int | None, best: list) -> None:
+    """The top k rows of several trees with a score in [low, high], added to ``best``.
+
+    Leaves whose interval meets the window are verified best-first by their upper bound, a few at a
+    time by exact integer products, until the k-th score found beats the next leaf's bound.
+    """
+    q = query.astype(np.float64)
+    qn = float(np.sqrt(q @ q))
+    found = [(t, *t.leaves(q, qn, low, high)) for t in trees]
+    tree_of = np.concatenate([np.full(len(leaves), i) for i, (_, leaves, _) in enumerate(found)]) if found else np.zeros(0)
+    leaves = np.concatenate([leaves for _, leaves, _ in found]) if found else np.zeros(0, dtype=np.int64)
+    upper = np.concatenate([u for _, _, u in found]) if found else np.zeros(0)
+    order = np.argsort(-upper, kind="stable")
+    step = 8
+    for start in range(0, len(order), step):
+        if len(best) >= k and -best[k - 1][0] > upper[order[start]]:
+            break
+        for i in order[start:start + step]:
+            tree = found[int(tree_of[i])][0]
+            members = tree.members_of([leaves[i]])
+            scores = tree.vectors[members] @ query
+            keep = (scores >= low) & (scores <= high)
+            if exclude is not None:
+                keep &= tree.nulls[members] | (tree.ids[members] != exclude)
+            best.extend(zip((-scores[keep]).tolist(), tree.nulls[members][keep].tolist(), tree.ids[members][keep].tolist()))
+        best.sort()
+        del best[k:]
 
 
 def _trees(rows: pd.DataFrame, width: int) -> dict:
@@ -191,10 +226,7 @@ def negatives_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int = NEGATIVE
             low, high = -((-LOW * p) // HIGH), p  # smallest integer s with 100 s >= 80 p
             best: list = []
             if low <= high:
-                q = _padded(vec, width)
-                for other, tree in trees.items():
-                    if other != int(label):
-                        tree.search(q, low, high, k, None, best)
+                search([t for other, t in trees.items() if other != int(label)], _padded(vec, width), low, high, k, None, best)
             for score, null, key in best:
                 out["pair"].append(int(pair))
                 out["negative_key"].append(key)
