@@ -20,6 +20,9 @@ CONTRACT = {
     "op7_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op8_mixing": "doc_id size source_size target taken",
     "op9_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_hard_negatives": "anchor_id positive_id rank negative_id positive_score negative_score",
+    "op12_packing": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op13_lexical_search": "item_id rank doc_id score",
 }
 
 
@@ -349,3 +352,4 @@ def test_quality_classifier_without_ratings(spark, docs):
     labels = spark.createDataFrame([], "doc_id bigint, grade int")
     assert quality_classifier.fit(docs, labels, 3) is None
     assert quality_classifier.predict(docs, None).filter("tail is not null").count() == 0
+
