@@ -120,6 +120,14 @@ def test_forest_is_repeatable_and_survives_saving(spark, vectors):
     assert results[0] == results[1] == results[2]
 
 
+def test_tasks_of_a_tree_fit_do_not_grow_with_the_rows(spark):
+    for n, tasks in ((500, 3), (20_000, 12), (60_000, 12)):
+        df = spark.range(n).select(F.col("id"), F.array(F.col("id").cast("double")).alias("v"), (F.col("id") % 2).alias("y"))
+        prepared = classifiers.with_features(df, "v", "y")
+        with classifiers.training_rows(prepared, "id", **classifiers.TREE_TASKS) as (rows, counted):
+            assert counted == n == rows.select("id").distinct().count() and rows.rdd.getNumPartitions() == tasks
+
+
 def test_settings_are_drawn_without_repeats():
     drawn = classifiers.draw_settings()
     assert len(drawn) == 50 == len({tuple(d.values()) for d in drawn})
