@@ -193,6 +193,16 @@ def test_vocabulary_is_numbered_in_spark_without_a_limit(spark, folder):
     assert numbered.where(F.col("index") != F.regexp_extract("term", "[0-9]+", 0).cast("bigint")).count() == 0
 
 
+def test_a_text_is_normed_once_not_once_per_word(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc int")
+    long_form = spark.createDataFrame([(1, 0, 3.0), (1, 2, 4.0)], "doc int, index int, w double")
+    rows = bag_of_words.vocabulary.vectors(docs, "doc", long_form, "w", 3, "v", l2=True)
+    assert {r.doc: r.v.toArray().tolist() for r in rows.collect()} == {1: [0.6, 0.0, 0.8], 2: [0.0, 0.0, 0.0]}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    scaled = [line for line in plan.splitlines() if "transform(" in line]
+    assert scaled and not any("aggregate(" in line for line in scaled)
+
+
 def test_bag_of_words(spark, folder):
     docs = derived.companies(spark, folder).withColumn("lang", F.lit("dutch"))
     result = bag_of_words.repeated_runs(docs, "doc_id", "innov", runs=1, size=8, min_df=10).collect()
