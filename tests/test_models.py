@@ -55,6 +55,14 @@ def test_knn_takes_any_base_and_keeps_a_large_one_in_spark(spark, monkeypatch):
     assert [r.neighbour for r in rows] == [2_000_000, 1_999_999]
 
 
+def test_knn_sends_no_base_of_20_mb(spark, monkeypatch):
+    base = spark.range(40_000).select("id", F.array(*[F.col("id") * (k + 1.0) for k in range(64)]).alias("v"))
+    queries = base.where("id in (7, 39999)")
+    monkeypatch.setattr(type(base), "toPandas", lambda self: pytest.fail("base on the driver"))
+    rows = knn.knn(queries, base, "id", "id", "v", 2).orderBy("id", "rank").collect()
+    assert [(r.id, r.neighbour) for r in rows] == [(7, 7), (7, 6), (39999, 39999), (39999, 39998)]
+
+
 def test_knn_moves_no_query_vector(spark, vectors):
     near = knn.knn(vectors, vectors, "vec_id", "vec_id", "embedding", 2)
     assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
