@@ -257,6 +257,53 @@ def test_word_vectors_equal_the_leading_eigenvectors_of_ppmi(spark):
     assert np.abs(exact @ exact.T).max() > 1 and np.abs(ours @ ours.T - exact @ exact.T).max() < 1e-6 * np.abs(exact @ exact.T).max()
 
 
+@pytest.mark.parametrize("chunk", [3, 50, 1 << 20])
+def test_pairs_are_counted_across_chunks_with_repeats_and_unknown_words(spark, monkeypatch, chunk):
+    import random
+    from collections import Counter
+
+    from webdrift.operators import word_vectors as W
+
+    monkeypatch.setattr(W, "CHUNK_TOKENS", chunk)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("aaabcdefgh") + str(rng.randint(0, 2)) for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    texts += texts[:5] + [None, "", "z", "a0 a0 a0"]
+    rows, known = W.cooccurrence(spark.createDataFrame([(t,) for t in texts], "text string"), window=3, min_count=30)
+    count = Counter(w for t in texts if t for w in t.split())
+    want = Counter()
+    for tokens in ((t or "").split() for t in texts):
+        for i, w in enumerate(tokens):
+            want.update((w, c) for c in tokens[max(0, i - 3):i] + tokens[i + 1:i + 4] if min(count[w], count[c]) >= 30)
+    assert {(r.word, r.context): r.n for r in rows.collect()} == want and len(want) > 9
+    assert {r.word: r.n for r in known.collect()} == {w: n for w, n in count.items() if n >= 30}
+
+
+def test_no_join_reads_the_pairs_before_they_are_counted(spark):
+    from webdrift.operators import word_vectors as W
+
+    rows, _ = W.cooccurrence(spark.createDataFrame([("a b a c " * 9,)], "text string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert all("Join" not in line for line in plan[plan.index("Aggregate"):plan.index("Map")].splitlines())
+
+
+@pytest.mark.parametrize("piece", [2, 1 << 14])
+def test_blocks_of_a_product_equal_the_whole_product(spark, monkeypatch, piece):
+    from webdrift.operators import word_vectors as W
+
+    monkeypatch.setattr(W, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(W, "PIECE", piece)
+    rng = np.random.default_rng(5)
+    matrix = np.where(rng.random((90, 90)) < 0.1, rng.normal(size=(90, 90)), 0.0)
+    factor = rng.normal(size=(90, 4))
+    factor[7] = 0.0  # no row
+    entries = spark.createDataFrame([(int(i), int(j), float(matrix[i, j])) for i, j in zip(*np.nonzero(matrix))], "i long, j long, v double")
+    right = spark.createDataFrame([(i, factor[i].tolist()) for i in range(90) if i != 7], "index long, x array<double>")
+    got = np.zeros((90, 4))
+    for r in W.multiply(entries, right, 90).collect():
+        got[r["index"]] += r["x"]
+    assert np.abs(got - matrix @ factor).max() < 1e-12
+
+
 def test_knn_bounds_measure_few_pairs_and_stay_exact():
     rng = np.random.default_rng(8)
     base = np.vstack([rng.normal(size=(3000, 24)) * np.linspace(3, 0.01, 24), np.ones((5000, 24))])
