@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,6 +185,21 @@ def test_mean_word_vectors(spark):
     assert got == {1: [round(2 / 3, 9), 1.0], 2: [0.0, 0.0]}
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 28])
+def test_mean_word_vectors_shuffle_no_word_of_a_small_vocabulary(spark, monkeypatch, sent):
+    monkeypatch.setattr(terms, "BROADCAST_BYTES", sent)
+    docs = spark.createDataFrame(
+        [(1, "a a b z"), (1, "b"), (2, "z"), (3, None), (4, ""), (None, "a"), (5, "\u00e9\u00a0a")], "doc int, text string")
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 4.0]), ("c", [9.0, 9.0])], "word string, vector array<double>")
+    means = terms.mean_word_vectors(docs, "doc", vectors, 2)
+    got = sorted((r.doc or 0, r.text or "", *r.word_vector) for r in means.collect())
+    assert got == [(0, "a", 0.0, 0.0), (1, "a a b z", 0.5, 2.0), (1, "b", 0.5, 2.0), (2, "z", 0.0, 0.0), (3, "", 0.0, 0.0),
+                   (4, "", 0.0, 0.0), (5, "\u00e9\u00a0a", 1.0, 0.0)]
+    plan = means._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan  # sorts a task's words by text once it holds 128 texts
+    assert sent == 0 or not re.search(r"hashpartitioning\([^)]*word", plan)
+
+
 def test_cluster_review_of_a_hot_cluster(spark):
     rows = spark.range(3000).withColumn("cluster", F.when(F.col("id") < 1000, 0).otherwise(F.col("id") % 5))
     rows = rows.withColumn("distance", (F.col("id") * 7919 % 1009) / 1009)
