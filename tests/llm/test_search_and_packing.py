@@ -235,3 +235,33 @@ def test_cover_tree_keeps_its_radii():
     tree.search(q, -np.inf, np.inf, 7, None, best)
     scores = vectors @ q
     assert [-b[0] for b in best] == sorted(scores, reverse=True)[:7]
+
+
+def test_packing_gives_the_library_each_word_once(monkeypatch):
+    import random
+
+    from webdrift.llm import packing
+
+    library, given = packing.tokenizer(), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    def whole(texts):
+        return [np.asarray(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+    added, words = packing._word_by_word(library), {}
+    texts = ["the quick brown fox " * 200 + str(i) for i in range(3)]
+    assert packing._ids(texts, Counting(), added, words) == whole(texts)
+    assert sum(len(t) for t in given) < 100
+    # odd spaces, marks, contractions, added tokens; a cache that is cleared, words too long to keep
+    monkeypatch.setattr(packing, "WORDS_KEPT", 50)
+    draw = random.Random(3)
+    bits = [" ", " ", "  ", "\n", "\t", " ", "　", "\u0085", "​", "\x1c", "a", "don't", "'s", "12", "²", "!", "_", "é", "́",
+            "中文", "\U0001f600", "<|endoftext|>", "<|end", "oftext|>", "x" * 70]
+    for _ in range(40):
+        texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(30)]
+        assert packing._ids(texts, library, added, words) == whole(texts)
+        assert len(words) <= 50 + 30 * 14 and all(len(w) <= packing.WORD_CHARS for w in words)

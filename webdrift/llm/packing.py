@@ -5,8 +5,9 @@ longer than the capacity are cut: the first piece holds the remainder (it may be
 further piece is full.  Pieces are packed into as few sequences of at most ``capacity`` ids as the
 method finds; a piece is never cut again.
 
-Plan.  Spark tokenizes each row once in Arrow batches, writes the pieces to the shared checkpoint
-folder and counts pieces per length: at most ``capacity`` rows, whatever the size of the corpus.
+Plan.  Spark tokenizes each row once in Arrow batches (a worker gives the library each word once,
+as far as it can keep their ids), writes the pieces to the shared checkpoint folder and counts
+pieces per length: at most ``capacity`` rows, whatever the size of the corpus.
 The packing itself is decided on these counts alone:
 
 1. full pieces are sequences of their own;
@@ -30,6 +31,9 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -44,12 +48,17 @@ from webdrift.llm.common import checkpointed, documents
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK_CHARS = 1 << 20  # characters of text encoded at once
+CUT = re.compile(r" (?=[!-~\w])")  # a blank before a character that is no space, see _ids
+WORDS_KEPT = 1 << 20  # words whose ids a worker keeps, some 200 MB
+WORD_CHARS = 64  # longer words are not kept
+ENCODED = 1 << 13  # words given to the library at once
 RANK_ROWS = 1024  # pieces of one length numbered in one window group, about
 PLAN_LIMIT = 1 << 20  # rows of the plan that may be broadcast; above it the plan is joined by a shuffle
 
 PIECES = "row_key long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _tokenizers: dict = {}
+_words: dict = {}  # tokenizer name -> (its added tokens, ids of words met), one per worker process
 
 
 def tokenizer(name: str = TOKENIZER):
@@ -84,10 +93,59 @@ def crc(ids) -> int:
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
 
 
+def _word_by_word(encode) -> tuple[str, ...] | None:
+    """The added tokens of a tokenizer that cuts texts by the byte-level pattern before anything else; None for others."""
+    told = json.loads(encode.to_str())
+    first = told["pre_tokenizer"] or {}
+    if (first.get("type") != "ByteLevel" or first.get("add_prefix_space", True) or not first.get("use_regex", True)
+            or told["normalizer"] or told["truncation"] or told["padding"] or told["model"].get("dropout")):
+        return None
+    return tuple(t["content"] for t in told["added_tokens"])
+
+
+def _encoded(texts: list[str], encode) -> list[bytes]:
+    """The library's ids of each text, little-endian unsigned 32-bit."""
+    out = []
+    for s in range(0, len(texts), ENCODED):  # the same ids as encode_batch, without offsets
+        for e in encode.encode_batch_fast(texts[s:s + ENCODED], add_special_tokens=False):
+            out.append(struct.pack(f"<{len(e.ids)}I", *e.ids))
+    return out
+
+
+def _ids(texts: list[str], encode, added: tuple[str, ...] | None, words: dict[str, bytes]) -> list[bytes]:
+    """The library's ids of whole texts, each word given to it once.
+
+    The byte-level pattern always begins a new piece at a blank before a character that is no
+    space: words take a blank in front only, and a run of spaces before a word leaves it its last
+    one.  No piece looks behind, and the part before the blank ends in the pieces it has in the
+    text.  So ids of a text are those of its parts, cut there; ``words`` keeps those of parts
+    that had a blank in front.  Texts with an added token are encoded whole.
+    """
+    if added is None:
+        return _encoded(texts, encode)
+    parts = [[t] if any(a in t for a in added) else CUT.split(t) for t in texts]
+    met = {w for p in parts for w in p[1:]}
+    new = met - words.keys()
+    if len(words) + len(new) > WORDS_KEPT:
+        words.clear()
+        new = met
+    fresh = list(new)
+    words.update(zip(fresh, _encoded([" " + w for w in fresh], encode), strict=True))
+    heads = _encoded([p[0] for p in parts], encode)
+    ids = [b"".join([head, *map(words.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
+    for w in fresh:
+        if len(w) > WORD_CHARS:
+            del words[w]
+    return ids
+
+
 def _pieces(batches, capacity: int, name: str):
     """Arrow batches of documents -> batches of pieces; texts are encoded in chunks of about
     CHUNK_CHARS characters (a longer text alone), and only their ids are kept."""
     encode = tokenizer(name)
+    if name not in _words:
+        _words[name] = _word_by_word(encode), {}
+    added, words = _words[name]
     for batch in batches:
         texts = batch.column("text").to_pylist()
         start = 0
@@ -97,15 +155,14 @@ def _pieces(batches, capacity: int, name: str):
                 size += len(texts[end] or "")
                 end += 1
             at, piece, begin, length, crcs = [], [], [], [], []
-            # the same ids as encode_batch, without offsets
-            for j, encoding in enumerate(encode.encode_batch_fast([t or "" for t in texts[start:end]], add_special_tokens=False), start):
-                ids = np.append(np.asarray(encoding.ids, dtype="<u4"), np.uint32(0))
-                for k, (s, n) in enumerate(spans(len(ids), capacity)):
+            for j, ids in enumerate(_ids([t or "" for t in texts[start:end]], encode, added, words), start):
+                ids += bytes(4)
+                for k, (s, n) in enumerate(spans(len(ids) // 4, capacity)):
                     at.append(j)
                     piece.append(k)
                     begin.append(s)
                     length.append(n)
-                    crcs.append(zlib.crc32(ids[s : s + n].tobytes()))
+                    crcs.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
             taken = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_key").take(taken), batch.column("doc_id").take(taken), pa.array(piece, pa.int32()),
