@@ -178,6 +178,20 @@ def test_tfidf(spark):
     assert got == {(1, "aaa"): 0.921907, (1, "bbb"): 0.387411, (2, "bbb"): 0.579739, (2, "ccc"): 0.814802}
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 28])
+def test_tfidf_shuffles_no_word_of_a_small_vocabulary(spark, monkeypatch, sent):
+    monkeypatch.setattr(terms, "BROADCAST_BYTES", sent)
+    docs = spark.createDataFrame([(1, "aaa aaa"), (1, "BBB zzz"), (2, "bbb ccc"), (3, None), (4, "ccc"), (None, "aaa")], "doc int, text string")
+    weights = terms.tfidf(docs, "doc", min_df=2)
+    got = {(r.doc, r.term): round(r.tfidf, 6) for r in weights.collect()}
+    tf = 1 + math.log(2)
+    length = math.hypot(tf, 1)  # aaa, bbb and ccc have the same idf
+    assert got == {(1, "aaa"): round(tf / length, 6), (1, "bbb"): round(1 / length, 6), (2, "bbb"): round(math.sqrt(0.5), 6),
+                   (2, "ccc"): round(math.sqrt(0.5), 6), (4, "ccc"): 1.0, (None, "aaa"): 1.0}
+    plan = weights._jdf.queryExecution().executedPlan().toString()
+    assert sent == 0 or not re.search(r"hashpartitioning\([^)]*term", plan)
+
+
 def test_mean_word_vectors(spark):
     docs = spark.createDataFrame([(1, "a a b z"), (2, "z")], "doc int, text string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 3.0])], "word string, vector array<double>")
