@@ -49,6 +49,7 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 CHUNK_CHARS = 1 << 20  # characters of text encoded at once
 CUT = re.compile(r" (?=[!-~\w])")  # a blank before a character that is no space, see _ids
+ODD = re.compile(r" (?![!-~\w])")  # any other blank
 WORDS_KEPT = 1 << 20  # words whose ids a worker keeps, some 200 MB
 WORD_CHARS = 64  # longer words are not kept
 ENCODED = 1 << 13  # words given to the library at once
@@ -123,20 +124,24 @@ def _ids(texts: list[str], encode, added: tuple[str, ...] | None, words: dict[st
     """
     if added is None:
         return _encoded(texts, encode)
-    parts = [[t] if any(a in t for a in added) else CUT.split(t) for t in texts]
-    met = {w for p in parts for w in p[1:]}
-    new = met - words.keys()
-    if len(words) + len(new) > WORDS_KEPT:
+    parts = [[t] if any(a in t for a in added) else CUT.split(t) if ODD.search(t) else t.split(" ") for t in texts]
+    flat = [w for p in parts for w in p[1:]]
+    found = [*map(words.get, flat)]
+    fresh = list({w for w, ids in zip(flat, found) if ids is None})
+    if len(words) + len(fresh) > WORDS_KEPT:
         words.clear()
-        new = met
-    fresh = list(new)
     words.update(zip(fresh, _encoded([" " + w for w in fresh], encode), strict=True))
-    heads = _encoded([p[0] for p in parts], encode)
-    ids = [b"".join([head, *map(words.__getitem__, p[1:])]) for head, p in zip(heads, parts, strict=True)]
+    for i, ids in enumerate(found):
+        if ids is None:
+            found[i] = words[flat[i]]
     for w in fresh:
         if len(w) > WORD_CHARS:
             del words[w]
-    return ids
+    out, at = [], 0
+    for head, p in zip(_encoded([p[0] for p in parts], encode), parts, strict=True):
+        out.append(head + b"".join(found[at:at + len(p) - 1]))
+        at += len(p) - 1
+    return out
 
 
 def _pieces(batches, capacity: int, name: str):
