@@ -268,7 +268,7 @@ def test_packing_gives_the_library_each_word_once(monkeypatch):
         assert len(words) <= 50 + 30 * 14 and all(len(w) <= packing.WORD_CHARS for w in words)
 
 
-def test_packing_gives_the_library_words_without_marks_and_many_in_a_call():
+def test_packing_gives_the_library_words_without_marks_and_many_in_a_call(monkeypatch):
     from webdrift.llm import packing
 
     library, given = packing.tokenizer(), []
@@ -292,3 +292,12 @@ def test_packing_gives_the_library_words_without_marks_and_many_in_a_call():
     odd = ["a\n\n", "b", "c  ", " d", "", "\n", "\u3000e", "f\u2003 \u201cg", "\u00d7h\u00e9\u0301", "don't 't \"'t", "\x85 \xa0i", "<|endoftext|>", "\n\nj"]
     for texts in (odd, odd[::-1], [""], []):
         assert packing._ids(texts, library, rules, {}) == whole(texts)
+    # what is not cut goes to the library in calls of bounded size
+    class Bounded:
+        def encode_batch_fast(self, texts, **options):
+            assert len(texts) == 1 or sum(map(len, texts)) <= 500
+            return library.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(packing, "CALL_CHARS", 500)
+    texts = ["\u4e2d\u6587" * n for n in (90, 200, 30, 300, 7, 1, 120)] + ["<|endoftext|>" * 30, ""]
+    assert packing._ids(texts, Bounded(), rules, {}) == whole(texts) == packing._ids(texts, Bounded(), None, {})

@@ -49,10 +49,10 @@ from webdrift.llm.common import checkpointed, documents
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-CHUNK_CHARS = 1 << 23  # characters of text encoded at once
+CHUNK_CHARS = 1 << 23  # characters of text cut into parts at once
 WORDS_KEPT = 1 << 20  # parts of texts whose ids a worker keeps, some 200 MB
 WORD_CHARS = 64  # parts of more bytes are not kept
-ENCODED = 1 << 13  # texts given to the library at once
+CALL_CHARS = 1 << 18  # characters given to the library at once; its results are far larger than their ids
 JOINED = 1 << 10  # parts given to the library as lines of one text
 LINE = re.compile(r" ?[!-~\w]+")
 
@@ -132,24 +132,30 @@ def _word_by_word(encode) -> Rules | None:
 
 def _each(texts: list[str], encode) -> list[bytes]:
     """The library's ids of each text, little-endian unsigned 32-bit."""
-    out = []
-    for s in range(0, len(texts), ENCODED):  # the same ids as encode_batch, without offsets
-        for e in encode.encode_batch_fast(texts[s:s + ENCODED], add_special_tokens=False):
-            out.append(struct.pack(f"<{len(e.ids)}I", *e.ids))
+    out, start = [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= CALL_CHARS):
+            size += len(texts[end])
+            end += 1
+        for e in encode.encode_batch_fast(texts[start:end], add_special_tokens=False):  # the same ids as encode_batch, without offsets
+            ids = e.ids
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
+        start = end
     return out
 
 
 def _encoded(parts: list[bytes], encode, rules: Rules) -> list[bytes]:
     """The library's ids of each part.
 
-    Parts without a space but one blank in front go to it as lines of one text, as a call for
+    Short parts without a space but one blank in front go to it as lines of one text, as a call for
     each costs more than its ids: a line end between them is a piece and an id of its own, which
     no other piece holds.
     """
     out: list = [None] * len(parts)
     lines, alone = [], []
     for i, t in enumerate(texts := [p.decode() for p in parts]):
-        (lines if LINE.fullmatch(t) and not any(a in t for a in rules.added) else alone).append(i)
+        (lines if len(t) <= WORD_CHARS and LINE.fullmatch(t) and not any(a in t for a in rules.added) else alone).append(i)
     for s in range(0, len(lines), JOINED):
         at = lines[s:s + JOINED]
         (e,) = encode.encode_batch_fast(["\n".join(map(texts.__getitem__, at))], add_special_tokens=False)
@@ -233,8 +239,8 @@ def _ids(texts: list[str], encode, rules: Rules | None, words: dict[bytes, bytes
 
 
 def _pieces(batches, capacity: int, name: str):
-    """Arrow batches of documents -> batches of pieces; texts are encoded in chunks of about
-    CHUNK_CHARS characters (a longer text alone), and only their ids are kept."""
+    """Arrow batches of documents -> batches of pieces; texts are cut in chunks of about CHUNK_CHARS
+    characters and their parts encoded in calls of about CALL_CHARS (longer ones alone); only ids are kept."""
     encode = tokenizer(name)
     if name not in _words:
         _words[name] = _word_by_word(encode), {}
