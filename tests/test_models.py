@@ -152,6 +152,32 @@ def test_random_search(vectors):
     assert classifiers.score(model, vectors, "embedding").count() == vectors.count()
 
 
+def test_the_search_query_has_the_whole_budget(spark, folder, monkeypatch):
+    from webdrift import constants as C
+    from webdrift.operators import forest
+    from webdrift.plans import catalog
+
+    asked = {}
+    monkeypatch.setattr(forest, "cross_validate", lambda rows, folds, settings, seed: asked.update(n=rows.n, folds=folds, settings=settings) or [
+        (i, f, 0.5, 0.5) for i in range(len(settings)) for f in range(folds)])
+    monkeypatch.setattr(forest, "fit", lambda *a: None)
+    assert catalog.QUERIES["random_search_rf"](spark, folder).count() == 50
+    assert asked["folds"] == 5 and asked["n"] == sampling.split(derived.vectors(spark, folder), "vec_id")[0].count()
+    assert {s["n_estimators"] for s in asked["settings"]} == set(C.SEARCH_GRID["n_estimators"])
+
+
+def test_a_search_reads_smaller_forests_off_larger_ones(spark):
+    from webdrift.operators import forest
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(i % 3, 1, 4).tolist(), i % 2) for i in range(300)], "id int, v array<double>, y int")
+    rows = forest.prepare(df, "v", "y", "id", 300, F.col("id") % 2)
+    settings = [{"n_estimators": t, "max_features": f, "max_depth": 30, "min_leaf": 1} for f in (1, 4) for t in (3, 9, 5)]
+    together = sorted(forest.cross_validate(rows, 2, settings, 7))
+    apart = sorted((i, f, a, b) for i, s in enumerate(settings) for _, f, a, b in forest.cross_validate(rows, 2, [s], 7))
+    assert together == apart and len(together) == 12
+
+
 def test_kmeans(spark, vectors):
     zero = spark.createDataFrame([(-1, [0.0] * 64)], "vec_id bigint, embedding array<float>")
     rows, centroids = clusters.cosine_kmeans(vectors.select("vec_id", "embedding").unionByName(zero), "embedding", 5, repeats=2)
