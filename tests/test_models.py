@@ -178,6 +178,64 @@ def test_a_search_reads_smaller_forests_off_larger_ones(spark):
     assert together == apart and len(together) == 12
 
 
+@pytest.fixture
+def grown_in_workers(monkeypatch):
+    monkeypatch.setattr(classifiers, "NODES_ON_DRIVER", 0)
+    monkeypatch.setattr(classifiers, "random_forest", lambda *a, **k: pytest.fail("trees on the driver"))
+
+
+@pytest.mark.parametrize("in_file", [False, True])
+def test_a_large_forest_is_grown_in_the_workers_and_scores_as_sparks(spark, monkeypatch, in_file):
+    from webdrift.operators import forest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 6)).round(2)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(900) < 0.1)).astype(int)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id int, v array<double>, y int")
+    train, test = df.where("id < 700"), df.where("id >= 700")
+    known = classifiers.score(classifiers.fit_forest(train, "v", "y", "id", trees=60), test, "v").toPandas()
+    monkeypatch.setattr(classifiers, "NODES_ON_DRIVER", 0)
+    if in_file:
+        monkeypatch.setattr(forest, "MATRIX_BYTES", 0)
+    model = classifiers.fit_forest(train.repartition(5), "v", "y", "id", trees=60)
+    assert isinstance(model, forest.Forest) and model.trees.agg(F.sum("roots")).first()[0] == 60
+    ours = classifiers.score(model, test, "v")
+    assert ours.columns == ["id", "v", "y", "pred", "proba"] and "CartesianProduct" in ours._jdf.queryExecution().executedPlan().toString()
+    both = known.merge(ours.toPandas(), on="id")
+    assert len(both) == 200 and both.proba_x.corr(both.proba_y) > 0.95 and (both.pred_x == both.pred_y).mean() > 0.9
+    assert ((both.proba_y > 0.5) == both.pred_y).mean() > 0.98
+
+
+def test_bins_are_those_spark_uses():
+    from webdrift.operators import forest
+
+    ones = np.ones(5)
+    assert forest._limits(np.array([3.0, 1, 2, 2, 1]), ones).tolist() == [1.5, 2.5]
+    values = np.r_[np.zeros(900), np.arange(1, 101)]
+    limits = forest._limits(values, np.ones(1000))  # a heavy value takes one limit, the next values get the others
+    assert limits.tolist() == [*(i + 0.5 for i in range(29)), 38.5, 69.5]
+    kept, weight = forest._reduced(np.r_[np.zeros(9000), np.arange(1.0, 1001)], np.ones(10_000))
+    assert len(kept) <= forest.POINTS and (kept > 0).sum() >= 250 and abs(weight.sum() - 10_000) < 1e-6
+
+
+@pytest.mark.parametrize("query", ["rf_save_load_score", "score_rows", "clf_random_forest", "concept_drift_report"])
+def test_forest_queries_keep_trees_off_the_driver(spark, folder, grown_in_workers, query):
+    from webdrift.plans import catalog
+
+    known = derived.vectors(spark, folder)
+    want = {"rf_save_load_score": known.where("scrape = 12").count(), "score_rows": known.count(),
+            "clf_random_forest": sampling.split(known, "vec_id")[1].count(), "concept_drift_report": 5}
+    assert catalog.QUERIES[query](spark, folder).count() == want[query]
+
+
+def test_fulltext_and_comparison_keep_trees_off_the_driver(spark, folder, vectors, grown_in_workers):
+    from webdrift.plans import studies
+
+    assert studies.fulltext_reports(derived.companies(spark, folder), "doc_id", "innov", size=16).count() == 20
+    train, test = sampling.split(vectors, "vec_id")
+    assert classifiers.compare(train, test, "embedding", "innov", "vec_id", models=["random_forest", "tree"]).count() == 10
+
+
 def test_kmeans(spark, vectors):
     zero = spark.createDataFrame([(-1, [0.0] * 64)], "vec_id bigint, embedding array<float>")
     rows, centroids = clusters.cosine_kmeans(vectors.select("vec_id", "embedding").unionByName(zero), "embedding", 5, repeats=2)

@@ -60,7 +60,7 @@ def fulltext_reports(
     vectors = encode.embed(companies.select(key, label, text), text, size=size)
     train, test = sampling.split(vectors, key, seed=seed)
     model = classifiers.fit_forest(train, "embedding", label, key, seed)
-    scored = classifiers.score(model, test, "embedding").select(key, label, "pred", "proba")
+    scored = classifiers.score(model, test.select(key, label, "embedding"), "embedding")
     rules = [F.struct(F.lit("label").alias("rule"), F.lit(0.5).alias("threshold"), F.col("pred").alias("decision"))]
     rules += [
         F.struct(F.lit("probability").alias("rule"), F.lit(t).alias("threshold"), (F.col("proba") > t).cast("int").alias("decision"))
