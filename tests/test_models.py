@@ -388,6 +388,46 @@ def test_blocks_of_a_product_equal_the_whole_product(spark, monkeypatch, piece):
     assert np.abs(got - matrix @ factor).max() < 1e-12
 
 
+def test_a_product_shuffles_neither_the_factor_nor_its_sums(spark):
+    from webdrift.operators import streams
+    from webdrift.operators import word_vectors as W
+
+    factor = W.as_factor(spark.range(5000).select(F.col("id").alias("index"), F.array(F.lit(1.0), F.col("id") * 0.5).alias("x")))
+    pieces = W.packed(spark.range(3000).select(F.col("id").alias("i"), (F.col("id") + 1999).alias("j"), F.lit(2.0).alias("v")), 3000)
+    assert pieces.select("r").distinct().count() == 3
+    met = streams.against(factor, streams.against(pieces.withColumnRenamed("c", "of"), streams.tasks(spark, 3, "block"), F.col("r") == F.col("block")), F.col("c") == F.col("of"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Broadcast" not in plan and met.rdd.getNumPartitions() == 3
+    got = {r["index"]: list(r["x"]) for r in W.as_rows(W.product(pieces, factor, 3000)).collect()}
+    assert got == {i: [2.0, i + 1999.0] for i in range(3000)}
+
+
+def test_wide_vectors_are_averaged_without_a_sum_per_value(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    vector = {f"w{i}": rng.normal(size=70) for i in range(30)}
+    texts = [(i, " ".join(rng.choice([*vector, "unknown"], size=12))) for i in range(50)] + [(50, None), (51, "unknown"), (None, "w1"), (7, "w2 w2")]
+    docs = spark.createDataFrame(texts, "doc int, text string")
+    vectors = spark.createDataFrame([(w, v.tolist()) for w, v in vector.items()], "word string, vector array<double>")
+    rows = terms.mean_word_vectors(docs, "doc", vectors, 70)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "_69" not in plan
+    got = rows.collect()
+    assert len(got) == len(texts)
+    for r in got:
+        known = [vector[w] for d, t in texts if d is not None and d == r.doc for w in (t or "").split() if w in vector]
+        assert np.abs(np.array(r.word_vector) - (np.mean(known, axis=0) if known else np.zeros(70))).max() < 1e-12
+
+
+def test_names_of_a_large_vocabulary_are_not_broadcast(spark, monkeypatch):
+    from webdrift.operators import word_vectors as W
+
+    assert W.SMALL_VOCABULARY * 100 <= 256 << 20  # a row of the broadcast table is some 100 bytes, the driver's heap 750 MB
+    monkeypatch.setattr(W, "SMALL_VOCABULARY", 2)
+    rows, _ = W.cooccurrence(spark.createDataFrame([("a b a c " * 9,)], "text string"))
+    assert "ResolvedHint" not in rows._jdf.queryExecution().analyzed().toString() and "strategy=broadcast" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.word, r.context) for r in rows.collect()} == {(x, y) for x in "abc" for y in "abc"}
+
+
 def test_knn_bounds_measure_few_pairs_and_stay_exact():
     rng = np.random.default_rng(8)
     base = np.vstack([rng.normal(size=(3000, 24)) * np.linspace(3, 0.01, 24), np.ones((5000, 24))])
